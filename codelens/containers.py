@@ -1,0 +1,88 @@
+"""Problem 8: documents, measured in tokens, put into containers of 2,048 tokens with little unused space."""
+
+from __future__ import annotations
+
+import base64
+from bisect import bisect_left, insort
+
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from codelens.corpus import table
+
+CAPACITY = 2048
+VOCABULARY = "byte_bpe_multi_50k.tiktoken"
+
+
+def tokenizer():
+    import public_tokenizers
+    import tiktoken
+
+    with open(public_tokenizers.path(VOCABULARY), "rb") as f:
+        ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, f)}
+    return tiktoken.Encoding("byte_bpe_multi_50k", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+
+
+def token_counts(documents: DataFrame) -> DataFrame:
+    def count(batches):
+        encoding = tokenizer()
+        for b in batches:
+            yield pd.DataFrame({"doc_id": b["doc_id"], "tokens": [len(encoding.encode_ordinary(t)) if t else 0 for t in b["text"]]})
+
+    return documents.select("doc_id", "text").mapInPandas(count, "doc_id bigint, tokens bigint")
+
+
+def best_fit(lengths: dict[int, int]) -> list[tuple[int, int, int, int]]:
+    """lengths: how many pieces have a length. Best fit, longest first; containers with the same space left go together.
+
+    Returns (length, first rank, pieces, first container): the pieces of that length with these ranks go into containers numbered on from the first."""
+    spaces: list[int] = []  # sorted
+    ranges: dict[int, list[tuple[int, int]]] = {}  # of containers, by the space left in them
+    slots: list[tuple[int, int, int, int]] = []
+    opened = 0
+
+    def put(space: int, first: int, n: int) -> None:
+        if space not in ranges:
+            ranges[space] = []
+            insort(spaces, space)
+        ranges[space].append((first, n))
+
+    for length in sorted(lengths, reverse=True):
+        left, rank = lengths[length], 0
+        while left:
+            k = bisect_left(spaces, length)
+            if k == len(spaces):
+                n = -(-left // (CAPACITY // max(1, length)))
+                put(CAPACITY, opened, n)
+                opened += n
+                continue
+            space = spaces[k]
+            first, n = ranges[space].pop()
+            if not ranges[space]:
+                del ranges[space], spaces[k]
+            take = n if not length else min(n, left)
+            if not length:
+                slots.append((0, rank, left, first))
+                put(space, first, n)
+                break
+            slots.append((length, rank, take, first))
+            put(space - length, first, take)
+            if n > take:
+                put(space, first + take, n - take)
+            rank, left = rank + take, left - take
+    return slots
+
+
+def containers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, piece, tokens, container): a document longer than a container fills some alone, its rest is put as a document is."""
+    counts = token_counts(table(spark, sf_dir, "documents")).persist()
+    full = F.when(F.col("tokens") <= CAPACITY, 0).otherwise(F.floor(F.col("tokens") / CAPACITY)).cast("int")
+    rest = counts.select("doc_id", full.alias("piece"), (F.col("tokens") - full * CAPACITY).alias("tokens")).where("tokens > 0 or piece = 0")
+    slots = best_fit({int(r.tokens): r.n for r in rest.groupBy("tokens").agg(F.count("*").alias("n")).collect()})
+    places = spark.createDataFrame(slots or [(0, 0, 0, 0)], "tokens bigint, start bigint, n bigint, first bigint")
+    ranked = rest.withColumn("rank", F.row_number().over(Window.partitionBy("tokens").orderBy("doc_id")) - 1)
+    number = F.when(F.col("tokens") == 0, F.col("first")).otherwise(F.col("first") + F.col("rank") - F.col("start"))
+    put = ranked.join(F.broadcast(places), "tokens").where("rank >= start and rank < start + n").select("doc_id", "piece", "tokens", F.concat(F.lit("c"), number.cast("string")).alias("container"))
+    alone = counts.where(full > 0).select("doc_id", F.explode(F.sequence(F.lit(0), full - 1)).alias("piece"), F.lit(CAPACITY).cast("bigint").alias("tokens"))
+    return put.unionByName(alone.withColumn("container", F.concat(F.lit("d"), F.col("doc_id").cast("string"), F.lit("."), F.col("piece").cast("string"))))

@@ -1,0 +1,89 @@
+"""Problem 3: files that nobody wrote by hand for their repository."""
+
+from __future__ import annotations
+
+import re
+
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from codelens.corpus import files, table
+from codelens.source import tokens
+
+OTHERS = re.compile(r"(?:^|/)(?:node_modules|bower_components|jspm_packages|vendor|third[_-]?party|3rd[_-]?party|thirdparty|external|deps|Godeps|Pods|Carthage|site-packages)/")
+MADE = re.compile(
+    r"(?i)\bgenerated (?:by|from|with)\b.*\bdo not (?:edit|modify)|^\W*@generated\b|<auto-?generated\b|^\W*auto-?generated\b.*(?:\(|do not|by|regenerate)|\bdo not (?:edit|modify)\b.*\b(?:generated|by hand)\b|"
+    r"^\W*(?:eslint-disable|prettier-ignore|noqa|nolint) -- output of|(?:regenerate|re-generate) instead of editing|produced (?:from|by) .*\b(?:do not (?:edit|modify)|by hand)|this file (?:was|is) (?:automatically )?(?:generated|produced|created) (?:automatically )?by|automatisch (?:erzeugt|generiert|erstellt)|自动生成|自動生成|généré automatiquement|généré par|generado (?:automáticamente|por)|автоматически (?:создан|сгенерирован)|сгенерирован"
+)
+HEAD_LINES = 25
+NUMBER = r"-?\d[\w.]*+"
+RUN = re.compile(rf"(?:[\[\]{{}}(),\s]|{NUMBER}|\"(?:\\.|[^\"\\\n])*+\"|'(?:\\.|[^'\\\n])*+')++")
+BLOB = re.compile(r"[\"'][^\s\"']{600,}+[\"']")
+HINT = re.compile(r"(?i)generat|output of|produced|do not|created|erzeugt|generi|erstellt|生成|génér|generado|автоматически|сгенерирован")
+NUMBERED = re.compile(r"[A-Za-z]\w*_(\d+)\b[^=\n]*=\s*(\d+)\s*;?\s*$|\(\w+,\s*(\d+)\)\s*;?\s*\}?\s*$", re.M)
+LOCKED = re.compile(r'"(?:integrity|resolved|checksum)"\s*:')
+
+
+def made_by_tool(language: str, text: str) -> bool:
+    if language == "json":
+        return len(LOCKED.findall(text)) >= 5 and bool(re.search(r'"(?:lockfileVersion|packages|dependencies|version)"', text))
+    head = "\n".join(text.split("\n", HEAD_LINES)[:HEAD_LINES])
+    return any(kind == "comment" and any(MADE.search(line) for line in t.splitlines()) for kind, t, _ in tokens(language, head)) if HINT.search(head) else False
+
+
+def counted(text: str) -> bool:
+    """Whether most statements are numbered through, as constants and accessors that a tool writes."""
+    numbers = [int(a or c) for a, b, c in NUMBERED.findall(text) if c or a == b]
+    in_turn = sum(y == x + 1 for x, y in zip(numbers, numbers[1:]))
+    statements = sum(bool(re.search(r"=|\breturn\b|\)\s*;?\s*$", x)) for x in text.splitlines() if not x.lstrip().startswith(("#", "//", "*", "/*")))
+    return in_turn >= 5 and in_turn > 0.7 * (statements - 1)
+
+
+def compressed(language: str, text: str) -> bool:
+    if language != "javascript":
+        return False
+    code = re.sub(r"/\*[\s\S]*?\*/|^\s*//[^\n]*", "", text, flags=re.M).strip()
+    lines = [x for x in code.split("\n") if x.strip()]
+    if not lines or max(map(len, lines)) < 300:
+        return False
+    long = max(lines, key=len)
+    bare = re.sub(r'"(?:\\.|[^"\\])*"|\'(?:\\.|[^\'\\])*\'|`[^`]*`', '""', long)
+    return len(long) > 0.6 * len(code) and len(bare) > 200 and len(re.findall(r"[;{},=]", bare)) > 20 and sum(c in " \t" for c in bare) < 0.12 * len(bare)
+
+
+def data(language: str, text: str) -> bool:
+    if language in ("json", "yaml"):
+        return False
+    held = 0
+    for m in RUN.finditer(text):
+        run = m[0]
+        if len(run) > 200 and (run.count(",") >= 30 or BLOB.search(run)):
+            held += len(run)
+    return held > 0.5 * len(text)
+
+
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    f = files(spark, sf_dir).withColumn("path", F.coalesce("path_in_repo", "local_path")).where("content is not null")
+    code = f.where("language not in ('text', 'markdown')")
+
+    def cases(batches):
+        for b in batches:
+            yield pd.DataFrame({"doc_id": [
+                d for d, p, n, t in zip(b["doc_id"], b["path"], b["language"], b["content"])
+                if OTHERS.search(p or "") or t and (made_by_tool(n, t) or counted(t) or compressed(n, t) or data(n, t))
+            ]}, dtype="int64")
+
+    found = code.select("doc_id", "path", "language", "content").mapInPandas(cases, "doc_id bigint")
+
+    def last(c: str):
+        return F.lower(F.regexp_extract(F.col(c), r"([^/:]+?)(?:\.git)?/*$", 1))
+
+    repos = table(spark, sf_dir, "repos")
+    names = repos.select("repo_id", last("remote_url").alias("seg")).union(repos.select("repo_id", last("local_path"))).where("seg != ''").distinct().withColumnRenamed("repo_id", "of_repo")
+    body = code.where("length(content) >= 40").select("doc_id", "repo_id", "path", F.xxhash64(F.regexp_replace("content", r"\s+", "")).alias("body"))
+    named = body.select("doc_id", "repo_id", "body", F.explode(F.split(F.lower(F.regexp_replace("path", r"/?[^/]*$", "")), "/")).alias("seg")).where("seg != ''")
+    named = named.join(names, "seg").where("of_repo != repo_id").select("doc_id", "of_repo", "body")
+    origins = body.select(F.col("repo_id").alias("of_repo"), "body").distinct()
+    copies = named.join(origins, ["of_repo", "body"]).select("doc_id")
+    return found.union(copies).distinct()

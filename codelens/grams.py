@@ -1,0 +1,28 @@
+"""Problem 2: occurrences and documents of every gram of the index, and which are too rare or too common."""
+
+from __future__ import annotations
+
+from string import ascii_lowercase, ascii_uppercase
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from codelens.corpus import table
+
+RARE_OCCURRENCES, COMMON_SHARE = 2, 0.6
+
+
+def gram_counts(postings: DataFrame) -> DataFrame:
+    """(gram, occurrences, documents): a location counts once for a document, however many rows or shards repeat it."""
+    gram = F.translate("gram", ascii_uppercase, ascii_lowercase).alias("gram")
+    rows = postings.where("gram is not null").select(gram, "doc_id", F.coalesce("locations", F.array().cast("array<int>")).alias("at"))
+    per_doc = rows.groupBy("gram", "doc_id").agg(F.size(F.array_distinct(F.array_compact(F.flatten(F.collect_list("at"))))).cast("bigint").alias("n"))
+    return per_doc.groupBy("gram").agg(F.sum("n").alias("occurrences"), F.count(F.when(F.col("n") > 0, F.lit(1))).alias("documents"))
+
+
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    postings = table(spark, sf_dir, "postings")
+    docs = postings.agg(F.count_distinct("doc_id").alias("docs"))
+    rare = F.col("occurrences") <= RARE_OCCURRENCES
+    common = F.col("documents") >= COMMON_SHARE * F.col("docs")
+    return gram_counts(postings).crossJoin(F.broadcast(docs)).select("gram", F.when(rare, "rare").when(common, "common").alias("mark")).where("mark is not null")

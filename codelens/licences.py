@@ -1,0 +1,139 @@
+"""Problem 5: the licence of every repository and file, with conflicts and unknown ones."""
+
+from __future__ import annotations
+
+import re
+
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from codelens.corpus import files, table
+from codelens.prose import comment_lines
+from codelens.source import tokens
+
+LICENCE_FILE = re.compile(r"^(?:LICENSE|LICENCE|COPYING)")
+ID_LINE = re.compile(r"(?i)(?:SPDX-Licen[sc]e-Identifier[ \t]*:|@licen[sc]e\b:?)[ \t]*([^\n\r]*)")
+EITHER = re.compile(r"(?i)at your (?:choice|option)|\beither of the|dual[ -]licen[sc]ed|\beither\b.{0,80}\bor\b")
+STATES = re.compile(r"(?i)\b(?:licen[sc]ed|released|distributed|offered|published|made available)\b[^.]{0,30}\b(?:under|on)\b|ruled by|use is subject to|\blicen[sc]e ?:|lizenz ?:|no licen[sc]e is given|授权|许可证?[:：]|confidential|all rights|not for circulation|copying needs|signed letter|property of|free to use under|allowed by|under the terms of")
+
+
+def flat(text: str) -> str:
+    """Words only, lower case, without numbering and bullets at the start of lines."""
+    text = re.sub(r"(?m)^[ \t]*(?:\(?\d{1,2}[.)]|[-*•]|\([a-z]\))[ \t]+", " ", text)
+    text = re.sub(r"(?<=\s)\d{1,2}\.\s+(?=[A-Z])", " ", text)
+    return " " + " ".join(re.findall(r"[^\W_]+(?:\.\d+)*", text.lower())) + " "
+
+
+class Licences:
+    def __init__(self, rows: list[tuple[str, str, str, str]]):
+        """rows: (license_id, title, notice, full_text)"""
+        self.ids = {i.lower(): i for i, *_ in rows}
+        self.bodies, self.notices, by_title = [], [], {}
+        for i, title, notice, full in rows:
+            body = full.split("\n", 1)[1] if full.startswith(title) else full
+            self.bodies.append((i, flat(body)))
+            self.notices.append((i, flat(notice.split(". See ")[0])))
+            by_title.setdefault(title, []).append(i)
+        self.titles = []
+        for title, ids in by_title.items():
+            name, _, version = title.partition(", version ")
+            words = r"\s+".join(map(re.escape, flat(name).split()))
+            tail = rf"\s+(?:version\s+|v\s*)?v?{re.escape(version)}(?![\d.]*\d)" if version else r"\b"
+            self.titles.append((re.compile(rf"(?<=\s){words}{tail}"), ids))
+
+    def of_ids(self, expression: str) -> str:
+        expression = re.sub(r"\*/.*|-->.*|[()]", "", expression).strip()
+        parts = [p.strip().lower() for p in re.split(r"(?i)\s+or\s+|\s*\|\|?\s*", expression)]
+        known = [self.ids.get(p.split()[0] if p else p) for p in parts]
+        return " OR ".join(sorted(set(known))) if all(known) and known else "unknown"
+
+    def named(self, text: str) -> list[str]:
+        """Licences that are in a flat text, by body, else by title."""
+        got = [i for i, b in self.bodies if b in text]
+        rest = text
+        same = {}
+        for i, b in self.bodies:
+            same.setdefault(b, []).append(i)
+        out: list[str] = []
+        for b, ids in same.items():
+            if b in text:
+                titled = [i for i in ids if any(i in t and p.search(text) for p, t in self.titles)]
+                out += titled[:1] if len(titled) == 1 else titled or ids[:1]
+                rest = rest.replace(b, " ")
+        for pattern, ids in self.titles:
+            for m in pattern.finditer(rest):
+                after = rest[m.end() : m.end() + 60]
+                if len(ids) == 1:
+                    out.append(ids[0])
+                else:
+                    later = [i for i in ids if "later" in i] if re.match(r"\s*(?:or|and)?\s*(?:\(?at your option\)?\s*)?(?:or\s+)?any later|\s*or later|\s*or newer", after) else [i for i in ids if "only" in i]
+                    if not (set(ids) & set(got) and not re.match(r"\s*(?:or any later|and no other|or later|only)", after)):
+                        out += later[:1] or ids[:1]
+        return list(dict.fromkeys(out))
+
+    def of(self, text: str, whole: bool) -> str | None:
+        """The licence that a text states. whole: the text is a licence file's, so that it states one anyhow."""
+        stated: list[str] = []
+        for m in ID_LINE.finditer(text):
+            if m[1].strip(" */-"):
+                stated.append(self.of_ids(m[1]))
+        text = ID_LINE.sub("\n", text)
+        named = self.named(flat(text))
+        if len(named) > 1 and EITHER.search(text):
+            named = [" OR ".join(sorted(named))]
+        if not named and not stated and (whole or STATES.search(re.sub(r"\s+", " ", text))):
+            named = ["unknown"]
+        stated = list(dict.fromkeys([*stated, *named]))
+        return None if not stated else stated[0] if len(stated) == 1 else "conflict"
+
+
+def own_statement(known: Licences, language: str, text: str) -> str | None:
+    if language in ("json",):
+        return None
+    comments: list[str] = []
+    end = -1
+    for kind, t, at in tokens(language, text):
+        if kind != "comment":
+            continue
+        if end < 0 or text[end:at].strip():
+            comments.append("")
+        comments[-1] += "\n".join(comment_lines(t)) + "\n"
+        end = at + len(t)
+    blocks = [b for c in comments for b in re.split(r"\n\s*\n", c) if b.strip()]
+    return known.of("\n\n".join(comments), False) if blocks else None
+
+
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = [tuple(r) for r in table(spark, sf_dir, "license_texts").select("license_id", "title", "notice", "full_text").distinct().collect()]
+    repos = table(spark, sf_dir, "repos").groupBy("repo_id").agg(F.max("local_path").alias("root"))
+    f = files(spark, sf_dir).join(repos, "repo_id", "left")
+    inside = F.expr("case when root is not null and startswith(local_path, root || '/') then substr(local_path, length(root) + 2) end")
+    f = f.withColumn("path", F.coalesce("path_in_repo", inside, "local_path"))
+
+    def state(batches):
+        known = Licences(rows)
+        for b in batches:
+            out = []
+            for d, r, p, n, t in zip(b["doc_id"], b["repo_id"], b["path"], b["language"], b["content"]):
+                p, t = p or "", t or ""
+                licence = bool(LICENCE_FILE.match(p.rpartition("/")[2]))
+                prose = n in ("text", "markdown")
+                if licence or not prose:
+                    out.append((d, r, p.rpartition("/")[0], licence, not prose, known.of(t, True) if licence else own_statement(known, n, t)))
+            yield pd.DataFrame(out, columns=["doc_id", "repo_id", "dir", "licence", "code", "states"])
+
+    s = f.select("doc_id", "repo_id", "path", "language", "content").mapInPandas(state, "doc_id bigint, repo_id bigint, dir string, licence boolean, code boolean, states string")
+    s = s.persist()
+    one = F.when(F.count_distinct("states") > 1, "conflict").otherwise(F.min("states"))
+    licences = s.where("licence").groupBy("repo_id", "dir").agg(one.alias("near"))
+    repo = licences.where("dir = ''").select(F.lit("repo").alias("scope"), F.col("repo_id").alias("key_id"), F.col("near").alias("license_id"))
+    code = s.where("code").withColumn("parts", F.split("dir", "/"))
+    up = code.withColumn("depth", F.explode(F.sequence(F.lit(0), F.when(F.col("dir") == "", 0).otherwise(F.size("parts")))))
+    up = up.select("doc_id", "repo_id", "depth", F.array_join(F.slice("parts", F.lit(1), F.col("depth")), "/").alias("dir"))
+    near = up.join(licences, ["repo_id", "dir"]).groupBy("doc_id").agg(F.max_by("near", "depth").alias("near"))
+    each = code.select("doc_id", "states").join(near, "doc_id", "left")
+    file = each.select(F.lit("file").alias("scope"), F.col("doc_id").alias("key_id"), F.coalesce("states", "near").alias("license_id")).where("license_id is not null")
+    sure = ~F.col("states").isin("unknown", "conflict") & ~F.col("near").isin("unknown", "conflict")
+    mismatch = each.where(sure & (F.col("states") != F.col("near"))).select(F.lit("mismatch").alias("scope"), F.col("doc_id").alias("key_id"), F.col("states").alias("license_id"))
+    return repo.unionByName(file).unionByName(mismatch)

@@ -1,0 +1,124 @@
+"""Problem 10: personal data in documents, by kind, and the text with typed placeholders in its place."""
+
+from __future__ import annotations
+
+import re
+
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession
+
+from codelens.corpus import table
+
+UP, LOW = "A-ZÀ-ÖØ-Þ", r"[\wà-öø-ÿ'’\u0080-¿-]"
+NAME = rf"[{UP}]{LOW}+"
+GIVEN = set(
+    """Agnes Amara Anders Aoife Arjun Bronwen Bruno Camille Chiara Clement Declan Dmitri Edwin Elif Emre Étienne Freya Gareth Grace Haruka Henrik Hollis
+    Ilse Inés Jonas Katya Kenji Kofi Leila Lucía Maren Mateo Matteo Mei Nadia Noor Omar Oskar Petra Piotr Priya Rosalind Ruth Samir Signe Simon Tamsin
+    Thabo Tobias Vera Winona Yusuf Zofia Zuri Alice Anna Bob Carlos Carol David Elena Emma Hans Ivan James Jan John José Julia Karl Laura Lena Lucas Luis
+    Maria Marie Mark Martin Mary Michael Olga Paul Peter Pierre Robert Sarah Sofia Thomas William Yuki""".split()
+)
+GIVEN |= {g.encode().decode("latin-1") for g in GIVEN if not g.isascii()}
+NOT_GIVEN = {"Your", "First", "Some", "Test", "The", "An", "No", "Der", "Die", "Das", "Ein", "Eine", "Dieser", "Jeder", "As", "Thanks", "Flat"}
+NOT_FAMILY = set("Street Lane Tree Marrow Mews Avenue Ave Road Rd Drive Queue Cache Index Server Service Job Dashboard Library Licence License".split())
+
+TLD = r"[A-Za-z]{2,}"
+FILE_TYPES = {"png", "jpg", "jpeg", "gif", "webp", "svg", "ico", "js", "css", "py", "go", "zip"}
+EMAIL = re.compile(rf"(?<![\w.+@/%-])[\w.+%-]+@(?:[\w-]+\.)+{TLD}\b(?![:@][\w/~])")
+SPELLED = re.compile(rf"(?<![\w.+@/%-])[\w.+-]+ ?(?: at |\[at\]|\(at\)|\{{at\}}) ?[\w-]+(?:(?:\.| dot | ?\[dot\] ?| ?\(dot\) ?)[\w-]+)*(?:\.| dot | ?\[dot\] ?| ?\(dot\) ?){TLD}\b", re.I)
+MAY_SPELL, MAY_ADDRESS, MAY_NUMBER = re.compile(r" dot |[\[({](?:at|dot)[\])}]", re.I), re.compile(r"\d{5} |, [^\n,]* \d{5}|[A-Z]\d[\dA-Z]? \d[A-Z]{2}|\d[号弄]"), re.compile(r"\d\d[\d ()./-]*\d\d|[A-Z]{2} ?\d")
+
+CITY = rf"{NAME}(?:[ -]{NAME}){{0,2}}"
+STREET_EN = r"(?:Street|St|Avenue|Ave|Road|Rd|Drive|Dr|Lane|Ln|Mews|Court|Ct|Place|Pl|Square|Sq|Terrace|Close|Way|Boulevard|Blvd|Row|Crescent|Gardens|Hill|Walk)\b\.?"
+ADDRESS = re.compile(
+    "|".join((
+        rf"(?:(?:Flat|Apt\.?|Unit|Suite) \d+[A-Za-z]?,\s+)?\b\d+[A-Za-z]? +(?:{NAME} +){{1,3}}{STREET_EN},\s+(?:(?:Apt\.?|Unit|Suite) \d+,\s+)?{CITY},?\s+(?:[A-Z]{{2}}\s+)?(?:\d{{5}}(?:-\d{{4}})?|[A-Z]{{1,2}}\d[\dA-Z]?\s+\d[A-Z]{{2}})\b",
+        rf"\b\d+(?:\s+(?:bis|ter|quater))?,?\s+(?:rue|avenue|boulevard|place|allée|chemin|impasse|quai|cours)\s+[^\n,;:.]{{2,40}},\s+\d{{5}}\s+{CITY}",
+        rf"\b(?:Calle|Avenida|Avda\.|C/|Plaza|Paseo|Camino)\s*[^\n,;:.]{{2,40}}\s\d+,\s+(?:\d+[ºª°]\s?\w+,\s+|\d+Âº\s?\w+,\s+)?\d{{5}}\s+{CITY}",
+        rf"\b{NAME}(?: {NAME})? \d+ ?[a-z]?,\s+\d{{5}}\s+{CITY}",
+        r"[一-鿿]{2}市(?:[一-鿿]{1,3}[区县])?[一-鿿]{1,6}?[路街道巷]\d+[号弄](?:\d+[栋幢座号楼])?(?:\d+单元)?(?:\d+[室户])?",
+    ))
+)
+NOT_NUMBER = re.compile(r"(?i)(?:build|release|version|run|ticket|issue|offset|shard|port|id|hash|trace|byte|v|#)[ :=#]*$")
+PHONE = re.compile(
+    r"(?<![\w.@/+-])(?:"
+    r"(?:\+|00)[1-9]\d{0,2}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{1,5}(?:[ .-]?\d{2,6}){1,4}"
+    r"|1[ .-]\d{3}[ .-]\d{4}|(?:1[ .-])?(?:\([2-9]\d\d\) ?|[2-9]\d\d[ .-])[2-9]\d\d[ .-]\d{4}"
+    r"|\(0\d{2,5}\) ?\d{2,8}(?:[ -]\d{2,6}){0,3}|0\d{2,5}/\d{3,10}(?:[ -]\d{1,6})*"
+    r")(?:,?\s?(?:ext\.?|x|extension|Durchwahl|доб\.|分机)\s?\d{1,6})?(?![\w/@]|[.:-]\d)"
+)
+ID_NUMBER = re.compile(
+    r"(?<![\w.@/+-])(?:\d{3}-\d{2}-\d{4}|[A-Z]{2}(?: ?\d\d){3} ?[A-D]|\d{17}[\dXx]|[XYZ]?\d{7,8}-?[A-Z]|[A-Z]{2}\d{7})(?![\w@/]|[.-]\d)"
+)
+LABELLED_ID = re.compile(
+    r"""(?i)(?:\bSSN|social security|national insurance|passport|Reisepass|Personalausweis|\bDNI|\bNIF|\bNIE|ID card|resident ID|national ID|tax ID|documento|身份证|护照|паспорт)[^\n\d]{0,14}?["'(=:> ]+([A-Z]{0,2}[\d][\d -]{5,20}[\dA-Z]|[A-Z]{1,2}(?: ?\d){6,9} ?[A-Z]?)(?![\w-])"""
+)
+HAN_SURNAMES = "欧阳 上官 司马 诸葛 夏侯 皇甫 尉迟 公羊 澹台 钟离 宇文 长孙 慕容 令狐 司徒 司空 东方 独孤 南宫 百里 端木 轩辕 公孙 闻人 申屠 太史 仲孙 赫连 濮阳 淳于 单于 公冶 宗政 鲜于 闾丘 东郭 西门 呼延 拓跋 第五 东门 左丘 梁丘 公西 颛孙 漆雕 乐正 壤驷 公良 夹谷 宰父 谷梁 段干 微生 羊舌".split()
+HAN_FULL = rf"(?:{'|'.join(HAN_SURNAMES)})[一-鿿]{{1,2}}"
+HAN_PERSON = re.compile(
+    rf"(?:(?:[A-Z][a-z]+-(?:[a-z]+-)?by|Author|Assignee|owner|cc|CC|Cc|From)\s*(?::|->|=>|=|\s)\s*|(?:Thanks to|paired with|感谢|谢谢|As) *|^[ >]*)([一-鿿]{{2,4}})(?=$|\r| [的<(]|,| on the| for the| said| wrote|[的，<(])|({HAN_FULL})(?![一-鿿])",
+    re.M,
+)
+FULL = rf"({NAME}(?:-{NAME})?)((?: [{UP}]\.){{0,2}}) ({NAME})"
+TRAILER = re.compile(
+    rf"(?:\b[A-Z][a-z]+-(?:[a-z]+-)?by|\bAuthor|\bAssignee|\bowner|\bReviewer|\bMaintainer|\bContact|\bFrom|\bcc|\bCC|\bCc)\s*(?::|->|=>|=|\s)\s*({FULL})(?!\s?[/@])"
+    rf"|(?:\bThanks to|\bpaired with|感谢|谢谢|\bAs(?=[^\n]{{3,50}}\ssaid\b))\s*({FULL})"
+)
+
+
+def personal(text: str) -> list[tuple[int, int, str]]:
+    """(start, end, kind), in order and apart from each other."""
+    got: list[tuple[int, int, str]] = []
+
+    def add(a: int, b: int, kind: str) -> None:
+        if not any(a < y and x < b for x, y, _ in got):
+            got.append((a, b, kind))
+
+    if "@" in text:
+        for m in EMAIL.finditer(text):
+            local, _, host = m[0].partition("@")
+            if local.lower() != "git" and host.rpartition(".")[2].lower() not in FILE_TYPES:
+                add(m.start() + len(local) - len(local.lstrip(".-")), m.end(), "email")
+    for m in SPELLED.finditer(text) if MAY_SPELL.search(text) else ():
+        if not re.search(r"\sat\s", m[0], re.I) or re.search(r"\sdot\s", m[0], re.I):
+            add(m.start(), m.end(), "email")
+    for m in ADDRESS.finditer(text) if MAY_ADDRESS.search(text) else ():
+        add(m.start(), m.end(), "address")
+    number = MAY_NUMBER.search(text)
+    for m in LABELLED_ID.finditer(text) if number else ():
+        add(m.start(1), m.end(1), "id_number")
+    for m in ID_NUMBER.finditer(text) if number else ():
+        if not NOT_NUMBER.search(text, max(0, m.start() - 14), m.start()):
+            add(m.start(), m.end(), "id_number")
+    for m in PHONE.finditer(text) if number else ():
+        if sum(map(str.isdigit, m[0])) >= 7 and not NOT_NUMBER.search(text, max(0, m.start() - 14), m.start()):
+            add(m.start(), m.end(), "phone")
+    for m in TRAILER.finditer(text):
+        k = 1 if m[1] else 5
+        if m[k + 1] not in NOT_GIVEN and m[k + 3] not in NOT_FAMILY:
+            add(m.start(k), m.end(k), "person")
+    for m in HAN_PERSON.finditer(text):
+        k = 1 if m[1] else 2
+        if k == 2 or re.match(HAN_FULL, m[1]) or not re.match(r"^[ >]*$", text[m.start() : m.start(1)]):
+            add(m.start(k), m.end(k), "person")
+    for m in re.finditer(FULL, text):
+        if m[1] in GIVEN and m[3] not in NOT_FAMILY:
+            add(m.start(), m.end(), "person")
+        elif m[1] in NOT_GIVEN and (n := re.compile(FULL).match(text, m.start(1) + len(m[1]) + 1)) and n[1] in GIVEN and n[3] not in NOT_FAMILY:
+            add(n.start(), n.end(), "person")
+    return sorted(got)
+
+
+def masked(text: str) -> str:
+    out, at = [], 0
+    for a, b, kind in personal(text):
+        out += [text[at:a], f"<{kind}>"]
+        at = b
+    return "".join([*out, text[at:]])
+
+
+def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    def cases(batches):
+        for b in batches:
+            yield pd.DataFrame([(d, kind, t[x:y]) for d, t in zip(b["doc_id"], b["text"]) if t for x, y, kind in personal(t)], columns=["doc_id", "kind", "value"]).astype({"doc_id": "int64"})
+
+    return table(spark, sf_dir, "documents").select("doc_id", "text").mapInPandas(cases, "doc_id bigint, kind string, value string").distinct()

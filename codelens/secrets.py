@@ -1,0 +1,125 @@
+"""Problem 4: lines that hold credentials, and the content with the credentials masked."""
+
+from __future__ import annotations
+
+import re
+from bisect import bisect_right
+
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession
+
+from codelens.corpus import files
+
+PRIVATE = re.compile(r"-----BEGIN (?:[A-Z0-9]+ )*PRIVATE KEY(?: BLOCK)?-----(?P<body>[\s\S]*?)(?:-----END (?:[A-Z0-9]+ )*PRIVATE KEY(?: BLOCK)?-----|\Z)")
+SECRET_NAME = re.compile(
+    r"(?i)secret|passw(?:or)?d|passphrase|pass_?phrase|(?:^|[_-])(?:pwd|pass|psk|pin)$|[a-z]Pass$|^pwd|token|api[_-]?key|(?:access|account|storage|service|signing|encryption|master|shared|auth|client|private|deploy|host|session|license)[_-]?key|shared[_-]?access|credential|auth$|bearer"
+)
+NOT_SECRET_NAME = re.compile(r"(?i)public|cert|(?:name|path|field|label|mode|unit|code|file|type|url|uri|id|count|size|len|length|limit|hint|env|var|ref|note\w*|hash|digest|expiry|ttl)$|^note|tokenizer|tokens$")
+NAMED_ID = re.compile(r"(?i)(?:^|[_-])id[_-]?token$")
+PLACEHOLDER = re.compile(
+    r"(?i)^\W*$|^<.*>$|\$\{?\(?[A-Za-z_]|\{\{|%\(|%[A-Z_]+%|^(?:x+|\*+|\.+|-+|_+|0+|#+)$|change[_-]?me|replace[_-]?(?:me|this)|your[_-]|example|placeholder|redacted|dummy|to-?do|insert[_-]|todo|not-?a-?|fixme|none|null|^(?:true|false|nil)$|^(?:file|env|vault|ssm|secret|arn|https?):|^/|^process\.|^os\.|getenv|environ|env\."
+)
+LITERAL = r"(?:[rbuRBU]{0,2}|@)(?P<q%d>\"\"\"|'''|[\"'`])(?P<v%d>(?:(?!(?P=q%d))[^\n\\]|\\.)*)(?P=q%d)"
+ASSIGNED = re.compile(
+    r"(?P<name>[A-Za-z_$][\w$.-]*)(?:\[\])?[\"']?\s*(?::\s*&?(?:'?static )?[A-Za-z_][\w<>&. ]*?\s*=|:=|=>|[:=](?!=))\s*\(?\s*" + LITERAL % (1, 1, 1, 1)
+)
+MORE = re.compile(r"\s*(?:\+|\.|\\|,(?=\s*\n\s*\+)|)\s*\+?\s*" + LITERAL % (2, 2, 2, 2))
+BARE = re.compile(r"(?i)(?P<name>[A-Za-z_][\w-]*)[ \t]*(?::|=)[ \t]*(?:[|>]-?[ \t]*\r?\n[ \t]+)?(?P<v>[^\s\"'`;,&<>(){}\[\]$=]{8,}={0,2})(?=[\s\"'`;,&)]|$)", re.M)
+HEADER = re.compile(r"(?i)(?:\b(?:bearer|basic|token)[ ]+|\b(?:x-[a-z-]*(?:auth|key|token|secret)[a-z-]*|authorization)[\"']?\s*[:=]\s*[\"']?(?:(?:bearer|basic|token)\s+)?)(?P<v>[A-Za-z0-9+/_.~-]{12,}={0,2})")
+URL = re.compile(r"[a-z][a-z0-9+.-]*://[^\s/:@\"'`<>]*:(?P<v>[^\s/@\"'`<>]+)@", re.I)
+COMMAND = re.compile(r"(?:\s-p[ =]?|--(?:password|token|secret|api-key)[ =]|\s-u[ ]?[\w.]+:)(?P<v>[^\s\"'`;]{6,})")
+TAGGED = re.compile(r"(?<![\w+/=-])(?P<v>(?!sha\d|md5|ssh|uuid|key|v\d)[a-z]{2,4}\d?[_-](?:(?:live|test|prod)[_-])?[A-Za-z0-9]{20,}|(?:AKIA|ASIA)[A-Z0-9]{16}|eyJ[\w-]{8,}\.(?:eyJ)?[\w-]{8,}\.[\w-]{8,})(?![\w+/=-])")
+CALL = re.compile(r"(?i)\b(?:log_?in|sign_?in|open_?session|dial|connect|authenticate|auth|set_?password)\((?:[^()\n]*,)?\s*" + (LITERAL % (1, 1, 1, 1)) + r"\s*\)")
+UUID = re.compile(r"(?i)^[0-9a-f]{8}-(?:[0-9a-f]{4}-){3}[0-9a-f]{12}$")
+MAY = re.compile(r"(?i)secret|pass|pwd|token|key|auth|bearer|basic|log_?in|sign_?in|session|dial|connect|access|credential|://|\s-p|\s-u|psk|[a-z]{2,4}\d?[_-](?:live_|test_)?[A-Za-z0-9]{20}|AKIA|eyJ")
+
+
+def random_like(v: str, least: int = 6) -> bool:
+    """Whether a value looks drawn, not written: no placeholder, no reference, no words."""
+    if len(v) < least or PLACEHOLDER.search(v) or UUID.match(v) or re.search(r"\s", v) or re.fullmatch(r"[\d.,:_-]+", v):
+        return False
+    if v.startswith(("ssh-", "-----BEGIN", "sha256-", "sha384-", "sha512-")):
+        return False
+    if re.fullmatch(r"[A-Za-z_]\w*(?:\.\w+)+(?:\(.*\))?", v) and not re.search(r"\d[a-z]+\d|[A-Z]\d|\d[A-Z]", v):
+        return False
+    classes = bool(re.search("[a-z]", v)) + bool(re.search("[A-Z]", v)) + bool(re.search(r"\d", v)) + bool(re.search(r"[^\w\s.-]", v))
+    if re.fullmatch(r"[A-Za-z]?[a-z]+(?:[-_. /][a-z]+)*", v) or re.fullmatch(r"(?:[A-Za-z]?[a-z]+[\W_]?)+", v) and not re.search(r"[^\w.-]", v) and not re.search(r"[a-z][A-Z].*[A-Z]{2}|[A-Z].*[a-z][A-Z][a-z]?[A-Z]", v):
+        return False
+    return classes >= 2
+
+
+def spans(text: str) -> list[tuple[int, int]]:
+    """Places of the secret characters."""
+    got: list[tuple[int, int]] = []
+    if not MAY.search(text):
+        return got
+    keys = [(m.start(), m.end()) for m in re.finditer(r"-----BEGIN[\s\S]*?(?:-----END[^\n]*?-----|\Z)", text)] if "-----BEGIN" in text else []
+    if keys:
+        for m in PRIVATE.finditer(text):
+            a, b = m.span("body")
+            body = text[a:b]
+            if re.search(r"[A-Za-z0-9+/=]{16,}", body):
+                got += [(a + x.start(), a + x.end()) for x in re.finditer(r"[A-Za-z0-9+/=]{4,}", body.replace("\\n", "  "))] if "\n" not in body else [(a + x.start(), a + x.end()) for x in re.finditer(r"(?<=\n)[^\n]*\S[^\n]*(?=\n)", body)]
+
+    def add(m: re.Match, g: str, least: int = 6, any_: bool = False) -> None:
+        a, b = m.span(g)
+        if not any(x <= a < y for x, y in keys) and (any_ or random_like(text[a:b], least)):
+            got.append((a, b))
+
+    for m in ASSIGNED.finditer(text):
+        pieces, at = [m.span("v1")], m.end()
+        while (n := MORE.match(text, at)) and (n[0][: n.start("q2") - n.start()].strip() or "\n" in n[0]) and "\n" in text[at : n.start("q2")] + ("\n" if "+" in n[0][:4] else ""):
+            pieces.append(n.span("v2"))
+            at = n.end()
+        value = "".join(text[a:b] for a, b in pieces)
+        if not secret_name(m["name"]):
+            got += pieces if len(pieces) > 1 and (TAGGED.fullmatch(value) or (n := URL.match(value)) and not PLACEHOLDER.search(n["v"]) or HEADER.match(value)) else []
+        elif not any(x <= pieces[0][0] < y for x, y in keys) and random_like(value) and not HEADER.match(value) and "://" not in value and not re.search(r"(?i);?\b(?:pwd|password)=", value):
+            got += pieces
+    for m in BARE.finditer(text):
+        if secret_name(m["name"]) and re.search(r"\d|[A-Z].*[a-z].*[A-Z]|[^\w.-]", m["v"]) and not re.search(r"^[\w.]+\(", m["v"]):
+            add(m, "v", 8)
+    for pattern in (HEADER, COMMAND, TAGGED):
+        for m in pattern.finditer(text):
+            v = m["v"]
+            if re.search(r"\d", v) or re.search(r"[a-z][A-Z]", v) and len(v) >= 20:
+                add(m, "v", 8, pattern is TAGGED and bool(re.search(r"[A-Z]", v) and re.search("[a-z]", v)))
+    for m in CALL.finditer(text):
+        if re.search(r"\d|[^\w.-]", m["v1"]):
+            add(m, "v1")
+    for m in URL.finditer(text):
+        if not PLACEHOLDER.search(m["v"]) and not re.fullmatch(r"(?i)pass(?:word)?|secret|pw|pwd|user|token", m["v"]):
+            add(m, "v", 3, True)
+    return got
+
+
+def secret_name(name: str) -> bool:
+    name = name.rpartition(".")[2]
+    return bool(SECRET_NAME.search(name)) and (not NOT_SECRET_NAME.search(name) or bool(NAMED_ID.search(name)))
+
+
+def secret_lines(text: str) -> list[int]:
+    starts = [0] + [m.end() for m in re.finditer("\n", text)]
+    found: set[int] = set()
+    for a, b in spans(text):
+        found.update(range(bisect_right(starts, a) - 1, bisect_right(starts, max(a, b - 1))))
+    return sorted(found)
+
+
+def masked(text: str) -> str:
+    out, at = [], 0
+    for a, b in sorted(set(spans(text))):
+        if a >= at:
+            out += [text[at:a], "<secret>"]
+            at = b
+    return "".join([*out, text[at:]])
+
+
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The lines of code_lines are those of source_files, so every line is read there."""
+
+    def cases(batches):
+        for b in batches:
+            yield pd.DataFrame([(d, n) for d, t in zip(b["doc_id"], b["content"]) if t for n in secret_lines(t)], columns=["doc_id", "line_no"]).astype({"doc_id": "int64", "line_no": "int32"})
+
+    return files(spark, sf_dir).where("language != 'markdown'").select("doc_id", "content").mapInPandas(cases, "doc_id bigint, line_no int")
