@@ -107,13 +107,9 @@ def candidates(postings: DataFrame, frequencies: DataFrame, token: str) -> DataF
 
 
 def search(docs: DataFrame, postings: DataFrame, frequencies: DataFrame, token: str, case_sensitive: bool = False) -> DataFrame:
-    """(doc_id, sections): places from the index, checked in the content. Same rows as a scan."""
-    c = candidates(postings, frequencies, token)
-    t = T.byte_str(token if case_sensitive else T.fold_str(token))
-    chars = T.byte_chars("content" if case_sensitive else T.fold("content"))
-    found = docs.join(c, "doc_id").withColumn("chars", chars)
-    right = F.filter("locations", lambda x: F.substring(F.col("chars"), x + 1, F.lit(len(t))) == t)
-    spans = F.transform(right, lambda x: F.struct(x.alias("start"), (x + len(t)).alias("end")))
+    """(doc_id, sections): documents from the index, spans from their content. Same rows as a scan."""
+    found = docs.join(candidates(postings, frequencies, token).select("doc_id"), "doc_id", "left_semi")
+    spans = T.literal_spans("content", token, case_sensitive)
     return found.select("doc_id", spans.alias("sections")).where(F.size("sections") > 0)
 
 

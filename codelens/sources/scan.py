@@ -6,6 +6,7 @@ from __future__ import annotations
 
 import json
 import os
+import re
 import subprocess
 from collections.abc import Iterable
 
@@ -19,28 +20,96 @@ FILES = "local_path string, content binary"
 SYMBOLS = "local_path string, sym string, line_no int, kind string, language string"
 
 
-def _plain(path: str):
-    return F.regexp_replace(path, "^file:/+", "/")
+LISTED_LEVELS = 2
+BATCH_BYTES = 32 << 20
+
+
+def _pruned(names: list[str], options: IngestOptions) -> list[str]:
+    return sorted(n for n in names if n not in options.ignore_dirs and not (options.filter_dot_files and n.startswith(".")))
+
+
+def _walk(root: str, options: IngestOptions, levels: int | None = None):
+    """(folder, names of files in it, has a repository), through links but not round in circles; folders that cannot be read are skipped."""
+    seen: set[str] = set()
+    pending = [(root, 0)]
+    while pending:
+        folder, level = pending.pop()
+        real = os.path.realpath(folder)
+        try:
+            entries = sorted(os.scandir(folder), key=lambda e: e.name)
+        except OSError:
+            continue
+        if real in seen:
+            continue
+        seen.add(real)
+        inner = [e.name for e in entries if e.is_dir()]
+        yield folder, [e.name for e in entries if e.is_file()], ".git" in inner
+        if levels is None or level < levels:
+            pending += [(os.path.join(folder, n), level + 1) for n in reversed(_pruned(inner, options))]
+
+
+def _subtrees(spark: SparkSession, path: str, options: IngestOptions) -> DataFrame:
+    """Folders to walk, as (folder, whole): the upper levels by themselves, those below with all that is under them."""
+    path = os.path.abspath(path)
+    upper = list(_walk(path, options, LISTED_LEVELS))
+    depth = lambda p: p.removeprefix(path).count("/")
+    rows = [(p, depth(p) == LISTED_LEVELS) for p, _, _ in upper]
+    return spark.createDataFrame(rows, "folder string, whole boolean").repartition(max(1, min(len(rows), 4 * spark.sparkContext.defaultParallelism)))
 
 
 def directory(spark: SparkSession, path: str, options: IngestOptions = IngestOptions()) -> DataFrame:
-    """Every file under a folder, through links, but for folders that are left out by name or, with filter_dot_files, by a leading dot."""
-    f = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select(_plain("path").alias("local_path"), "content")
-    inner = F.substring("local_path", len(os.path.abspath(path)) + 2, 1 << 30)
-    folders = F.slice(F.split(inner, "/"), 1, F.size(F.split(inner, "/")) - 1)
-    left_out = lambda x: x.isin(list(options.ignore_dirs)) | (F.lit(options.filter_dot_files) & x.startswith("."))
-    return f.where(~F.exists(folders, left_out))
-
-
-def repositories(spark: SparkSession, path: str, allow: tuple[str, ...] = ()) -> DataFrame:
-    """Folders that hold .git, with the URL of their origin. With an allow list, those whose URL is in it."""
-    c = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "config").load(path).where("path like '%/.git/config'")
-    section = F.regexp_extract(F.decode("content", "UTF-8"), r'\[remote "origin"\]([^\[]*)', 1)
-    urls = F.regexp_extract_all(section, F.lit(r"(?m)^\s*url\s*=\s*(\S+)"), 1)
-    r = c.select(F.regexp_replace(_plain("path"), "/.git/config$", "").alias("local_path"), F.when(F.size(urls) == 1, F.get(urls, F.lit(0))).alias("remote_url"))
+    """Every file under a folder that all executors see, through links, but for folders that are left out by name or, with filter_dot_files, by a leading dot.
+
+    The driver lists the upper levels only; each task walks and reads its subtrees. Spark's own binaryFile reader would pass over every name with a leading dot or underscore."""
+
+    def read(batches):
+        for b in batches:
+            out, held = [], 0
+            for folder, whole in zip(b["folder"], b["whole"]):
+                for inner, names, _ in _walk(folder, options, None if whole else 0):
+                    for name in names:
+                        try:
+                            with open(os.path.join(inner, name), "rb") as f:
+                                data = f.read()
+                        except OSError:
+                            continue
+                        out.append((os.path.join(inner, name), data))
+                        held += len(data)
+                        if held > BATCH_BYTES:
+                            yield pd.DataFrame(out, columns=["local_path", "content"])
+                            out, held = [], 0
+            yield pd.DataFrame(out, columns=["local_path", "content"])
+
+    return _subtrees(spark, path, options).mapInPandas(read, FILES)
+
+
+def repositories(spark: SparkSession, path: str, allow: tuple[str, ...] = (), options: IngestOptions = IngestOptions()) -> DataFrame:
+    """Folders that hold .git, with the URL of their origin if there is just one. With an allow list, those whose URL is in it."""
+
+    def find(batches):
+        for b in batches:
+            out = []
+            for folder, whole in zip(b["folder"], b["whole"]):
+                for inner, _, holds in _walk(folder, options, None if whole else 0):
+                    if holds:
+                        out.append((inner, _origin(os.path.join(inner, ".git", "config"))))
+            yield pd.DataFrame(out, columns=["local_path", "remote_url"])
+
+    r = _subtrees(spark, path, options).mapInPandas(find, "local_path string, remote_url string")
     return r.where(F.col("remote_url").isin(list(allow))) if allow else r
 
 
+def _origin(config: str) -> str | None:
+    try:
+        with open(config, encoding="utf-8", errors="replace") as f:
+            text = f.read()
+    except OSError:
+        return None
+    section = re.search(r'\[remote "origin"\]([^\[]*)', text)
+    urls = re.findall(r"(?m)^\s*url\s*=\s*(\S+)", section[1]) if section else []
+    return urls[0] if len(urls) == 1 else None
+
+
 def git_remote(spark: SparkSession, url: str, folder: str, options: IngestOptions = IngestOptions()) -> tuple[DataFrame, DataFrame]:
     """Clones the head of a remote into a folder that all executors see; (files, repositories). Paths are unique with the folder in them."""
     target = os.path.join(folder, url.rstrip("/").rsplit("/", 1)[-1].removesuffix(".git"))
