@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from codelens.llm.containers import containers
 from codelens.llm.foreign import p3_found
-from codelens.llm.grams import p2_found
+from codelens.llm.grams import p2_found, p2_frequencies
 from codelens.llm.leaks import p9_found
 from codelens.llm.licences import p5_found
 from codelens.llm.personal import p10_found
@@ -15,6 +15,7 @@ from codelens.llm.syntax import p1_found
 QUERIES = {
     "p1_found": p1_found,
     "p2_found": p2_found,
+    "p2_frequencies": p2_frequencies,
     "p3_found": p3_found,
     "p4_found": p4_found,
     "p5_found": p5_found,
@@ -29,11 +30,13 @@ P2_SQL = """
 with o as (
     select distinct translate(gram, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') gram, doc_id, unnest(coalesce(locations, [null])) loc from postings
 ), g as (
-    select gram, count(loc) occurrences, count(distinct case when loc is not null then doc_id end) documents from o group by gram
+    select gram, count(loc) occurrences, count(distinct case when loc is not null then doc_id end) documents from o where gram is not null and doc_id is not null group by gram
 ), m as (
     select gram, case when occurrences <= 2 then 'rare' when documents >= 0.6 * (select count(distinct doc_id) from postings) then 'common' end mark from g
 )
 select gram, mark from m where mark is not null
 """
 
-SQL = {"p2_found": P2_SQL}
+P2_ALL = P2_SQL.replace("select gram, mark from m where mark is not null", "select * from m").replace("as (\n    select gram, case", "as (\n    select gram, occurrences, documents, case")
+
+SQL = {"p2_found": P2_SQL, "p2_frequencies": P2_ALL}
