@@ -1,9 +1,17 @@
-"""Problem 10: personal data in documents, by kind, and the text with typed placeholders in its place."""
+"""Problem 10: personal data in documents, by kind, and the text with typed placeholders in its place.
+
+Anchor expansion: one pass of an Aho-Corasick automaton (pyahocorasick) finds what personal
+data hangs on: at-signs and their spellings, digits, words of streets and cities, labels of
+numbers and of people, names. At each anchor a parser of its kind looks left and right for
+the ends and tests what it found. Nothing is looked for away from an anchor."""
 
 from __future__ import annotations
 
 import re
+from functools import cache
+from string import ascii_lowercase, ascii_uppercase
 
+import ahocorasick
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 
@@ -23,9 +31,9 @@ NOT_FAMILY = set("Street Lane Tree Marrow Mews Avenue Ave Road Rd Drive Queue Ca
 
 TLD = r"[A-Za-z]{2,}"
 FILE_TYPES = {"png", "jpg", "jpeg", "gif", "webp", "svg", "ico", "js", "css", "py", "go", "zip"}
-EMAIL = re.compile(rf"(?<![\w.+@/%-])[\w.+%-]+@(?:[\w-]+\.)+{TLD}\b(?![:@][\w/~])")
+LOCAL = re.compile(r"[\w.+%-]")
+DOMAIN = re.compile(rf"(?:[\w-]+\.)+{TLD}\b(?![:@][\w/~])")
 SPELLED = re.compile(rf"(?<![\w.+@/%-])[\w.+-]+ ?(?: at |\[at\]|\(at\)|\{{at\}}) ?[\w-]+(?:(?:\.| dot | ?\[dot\] ?| ?\(dot\) ?)[\w-]+)*(?:\.| dot | ?\[dot\] ?| ?\(dot\) ?){TLD}\b", re.I)
-MAY_SPELL, MAY_ADDRESS, MAY_NUMBER = re.compile(r" dot |[\[({](?:at|dot)[\])}]", re.I), re.compile(r"\d{5} |, [^\n,]* \d{5}|[A-Z]\d[\dA-Z]? \d[A-Z]{2}|\d[号弄]"), re.compile(r"\d\d[\d ()./-]*\d\d|[A-Z]{2} ?\d")
 
 CITY = rf"{NAME}(?:[ -]{NAME}){{0,2}}"
 STREET_EN = r"(?:Street|St|Avenue|Ave|Road|Rd|Drive|Dr|Lane|Ln|Mews|Court|Ct|Place|Pl|Square|Sq|Terrace|Close|Way|Boulevard|Blvd|Row|Crescent|Gardens|Hill|Walk)\b\.?"
@@ -34,10 +42,12 @@ ADDRESS = re.compile(
         rf"(?:(?:Flat|Apt\.?|Unit|Suite) \d+[A-Za-z]?,\s+)?\b\d+[A-Za-z]? +(?:{NAME} +){{1,3}}{STREET_EN},\s+(?:(?:Apt\.?|Unit|Suite) \d+,\s+)?{CITY},?\s+(?:[A-Z]{{2}}\s+)?(?:\d{{5}}(?:-\d{{4}})?|[A-Z]{{1,2}}\d[\dA-Z]?\s+\d[A-Z]{{2}})\b",
         rf"\b\d+(?:\s+(?:bis|ter|quater))?,?\s+(?:rue|avenue|boulevard|place|allée|chemin|impasse|quai|cours)\s+[^\n,;:.]{{2,40}},\s+\d{{5}}\s+{CITY}",
         rf"\b(?:Calle|Avenida|Avda\.|C/|Plaza|Paseo|Camino)\s*[^\n,;:.]{{2,40}}\s\d+,\s+(?:\d+[ºª°]\s?\w+,\s+|\d+Âº\s?\w+,\s+)?\d{{5}}\s+{CITY}",
-        rf"\b{NAME}(?: {NAME})? \d+ ?[a-z]?,\s+\d{{5}}\s+{CITY}",
         r"[一-鿿]{2}市(?:[一-鿿]{1,3}[区县])?[一-鿿]{1,6}?[路街道巷]\d+[号弄](?:\d+[栋幢座号楼])?(?:\d+单元)?(?:\d+[室户])?",
     ))
 )
+#: Of an address that names the street first: what stands before the postal code, and what after it begins with it.
+STREET_FIRST, POSTAL_CITY = re.compile(rf"\b{NAME}(?: {NAME})? \d+ ?[a-z]?,\s+$"), re.compile(rf"\d{{5}}\s+{CITY}")
+STREET_FIRST_SPAN = 200
 NOT_NUMBER = re.compile(r"(?i)(?:build|release|version|run|ticket|issue|offset|shard|port|id|hash|trace|byte|v|#)[ :=#]*$")
 PHONE = re.compile(
     r"(?<![\w.@/+-])(?:"
@@ -65,46 +75,142 @@ TRAILER = re.compile(
 )
 
 
+#: Anchors by kind, in lower case.
+ANCHORS = {
+    "at": ["@"],
+    "spelled": [" dot ", "[dot]", "(dot)", "[at]", "(at)", "{at}"],
+    "digit": list("0123456789"),
+    "unit": ["flat ", "apt", "unit ", "suite "],
+    "street": ["calle", "avenida", "avda.", "c/", "plaza", "paseo", "camino"],
+    "city": ["市"],
+    "label": ["ssn", "social security", "national insurance", "passport", "reisepass", "personalausweis", "dni", "nif", "nie", "id card", "resident id", "national id", "tax id", "documento", "身份证", "护照", "паспорт"],
+    "trailer": ["-by", "author", "assignee", "owner", "reviewer", "maintainer", "contact", "from", "cc", "thanks to", "paired with", "感谢", "谢谢", "as "],
+    "surname": HAN_SURNAMES,
+}
+LOWER = str.maketrans(ascii_uppercase, ascii_lowercase)  # keeps every place
+HAN = re.compile("[一-鿿]")
+
+
+@cache
+def automaton() -> ahocorasick.Automaton:
+    kinds: dict[str, list[str]] = {}
+    for kind, words in [*ANCHORS.items(), ("given", [g.translate(LOWER) for g in sorted(GIVEN | NOT_GIVEN)])]:
+        for w in words:
+            kinds.setdefault(w, []).append(kind)
+    a = ahocorasick.Automaton()
+    for w, k in kinds.items():
+        a.add_word(w, (len(w), tuple(k)))
+    a.make_automaton()
+    return a
+
+
+def anchors(text: str) -> dict[str, list[int]]:
+    """Where anchors begin, by kind, in order. Of a run of digits, its first."""
+    found: dict[str, list[int]] = {}
+    for end, (length, kinds) in automaton().iter(text.translate(LOWER)):
+        at = end - length + 1
+        for kind in kinds:
+            if kind != "digit" or not at or not text[at - 1].isdigit():
+                found.setdefault(kind, []).append(at)
+    return {k: sorted(set(v)) for k, v in found.items()}
+
+
+def email(text: str, at: int) -> tuple[int, int] | None:
+    """Left over what a mailbox is written in, right over the labels of a host."""
+    a = at
+    while a and LOCAL.match(text, a - 1):
+        a -= 1
+    m = DOMAIN.match(text, at + 1)
+    if a == at or not m or a and text[a - 1] in "@/":
+        return None
+    local, host = text[a:at], m[0]
+    if local.lower() == "git" or host.rpartition(".")[2].lower() in FILE_TYPES:
+        return None
+    return a + len(local) - len(local.lstrip(".-")), m.end()
+
+
+def line_of(text: str, at: int) -> tuple[int, int]:
+    end = text.find("\n", at)
+    return text.rfind("\n", 0, at) + 1, len(text) if end < 0 else end
+
+
+def numbered(text: str, at: int) -> bool:
+    """Whether the word before says that a number is one of builds, tickets or the like."""
+    return bool(NOT_NUMBER.search(text, max(0, at - 14), at))
+
+
+def person(text: str, m: re.Match, k: int) -> bool:
+    return m[k + 1] not in NOT_GIVEN and m[k + 3] not in NOT_FAMILY
+
+
+FULL_NAME = re.compile(FULL)
+
+
+def trailer_start(text: str, at: int) -> int:
+    """Of Signed-off-by and the like: where the words before -by begin."""
+    if text[at] != "-":
+        return at
+    while at and (text[at - 1].isalpha() or text[at - 1] == "-"):
+        at -= 1
+    return at
+
+
 def personal(text: str) -> list[tuple[int, int, str]]:
     """(start, end, kind), in order and apart from each other."""
+    where = anchors(text)
     got: list[tuple[int, int, str]] = []
 
     def add(a: int, b: int, kind: str) -> None:
         if not any(a < y and x < b for x, y, _ in got):
             got.append((a, b, kind))
 
-    if "@" in text:
-        for m in EMAIL.finditer(text):
-            local, _, host = m[0].partition("@")
-            if local.lower() != "git" and host.rpartition(".")[2].lower() not in FILE_TYPES:
-                add(m.start() + len(local) - len(local.lstrip(".-")), m.end(), "email")
-    for m in SPELLED.finditer(text) if MAY_SPELL.search(text) else ():
-        if not re.search(r"\sat\s", m[0], re.I) or re.search(r"\sdot\s", m[0], re.I):
-            add(m.start(), m.end(), "email")
-    for m in ADDRESS.finditer(text) if MAY_ADDRESS.search(text) else ():
-        add(m.start(), m.end(), "address")
-    number = MAY_NUMBER.search(text)
-    for m in LABELLED_ID.finditer(text) if number else ():
-        add(m.start(1), m.end(1), "id_number")
-    for m in ID_NUMBER.finditer(text) if number else ():
-        if not NOT_NUMBER.search(text, max(0, m.start() - 14), m.start()):
+    for at in where.get("at", ()):
+        if span := email(text, at):
+            add(*span, "email")
+    for a, b in sorted({line_of(text, at) for at in where.get("spelled", ())}):
+        for m in SPELLED.finditer(text, a, b):
+            if not re.search(r"\sat\s", m[0], re.I) or re.search(r"\sdot\s", m[0], re.I):
+                add(m.start(), m.end(), "email")
+    digits = where.get("digit", ())
+    for at in sorted({*digits, *where.get("unit", ()), *where.get("street", ()), *(x - 2 for x in where.get("city", ()) if x > 1)}):
+        if m := ADDRESS.match(text, at):
+            add(m.start(), m.end(), "address")
+        elif at > 1 and text[at].isdigit() and text[at - 1].isspace() and (m := POSTAL_CITY.match(text, at)):
+            if n := STREET_FIRST.search(text[max(0, at - STREET_FIRST_SPAN) : at]):
+                add(at - len(n[0]), m.end(), "address")
+    for at in where.get("label", ()):
+        if m := LABELLED_ID.match(text, at):
+            add(m.start(1), m.end(1), "id_number")
+    for at in digits:
+        gap = at > 2 and text[at - 1] == " "  # QQ 12 34 56 C
+        letters = next((k for k in (2, 1) if at >= k + gap and text[at - k - gap : at - gap].isalpha() and text[at - k - gap : at - gap].isascii()), 0)
+        if (m := letters and ID_NUMBER.match(text, at - letters - gap) or ID_NUMBER.match(text, at)) and not numbered(text, m.start()):
             add(m.start(), m.end(), "id_number")
-    for m in PHONE.finditer(text) if number else ():
-        if sum(map(str.isdigit, m[0])) >= 7 and not NOT_NUMBER.search(text, max(0, m.start() - 14), m.start()):
-            add(m.start(), m.end(), "phone")
-    for m in TRAILER.finditer(text):
-        k = 1 if m[1] else 5
-        if m[k + 1] not in NOT_GIVEN and m[k + 3] not in NOT_FAMILY:
-            add(m.start(k), m.end(k), "person")
-    for m in HAN_PERSON.finditer(text):
-        k = 1 if m[1] else 2
-        if k == 2 or re.match(HAN_FULL, m[1]) or not re.match(r"^[ >]*$", text[m.start() : m.start(1)]):
-            add(m.start(k), m.end(k), "person")
-    for m in re.finditer(FULL, text):
+    passed = 0
+    for at in digits:
+        for k in (2, 1, 0):
+            if at >= k and at - k >= passed and set(text[at - k : at]) <= set("+(") and (m := PHONE.match(text, at - k)):
+                passed = m.end()
+                if sum(map(str.isdigit, m[0])) >= 7 and not numbered(text, m.start()):
+                    add(m.start(), m.end(), "phone")
+                break
+    trailers = sorted({trailer_start(text, at) for at in where.get("trailer", ())})
+    for at in trailers:
+        if m := TRAILER.match(text, at):
+            k = 1 if m[1] else 5
+            if person(text, m, k):
+                add(m.start(k), m.end(k), "person")
+    surnames = where.get("surname", ())
+    if trailers or surnames:
+        for at in sorted({*trailers, *surnames, *(line_of(text, x)[0] for x in surnames)}):
+            if (m := HAN_PERSON.match(text, at)) and (k := 1 if m[1] else 2):
+                if k == 2 or re.match(HAN_FULL, m[1]) or not re.match(r"^[ >]*$", text[m.start() : m.start(1)]):
+                    add(m.start(k), m.end(k), "person")
+    for at in where.get("given", ()):
+        if (at and text[at - 1].isalpha() and text[at - 1].isascii()) or not (m := FULL_NAME.match(text, at)):
+            continue
         if m[1] in GIVEN and m[3] not in NOT_FAMILY:
             add(m.start(), m.end(), "person")
-        elif m[1] in NOT_GIVEN and (n := re.compile(FULL).match(text, m.start(1) + len(m[1]) + 1)) and n[1] in GIVEN and n[3] not in NOT_FAMILY:
-            add(n.start(), n.end(), "person")
     return sorted(got)
 
 
@@ -116,6 +222,16 @@ def masked(text: str) -> str:
     return "".join([*out, text[at:]])
 
 
+def p10_masked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, text) with placeholders; null texts stay null."""
+
+    def mask(batches):
+        for b in batches:
+            yield pd.DataFrame({"doc_id": b["doc_id"], "text": [None if t is None else masked(t) for t in b["text"]]})
+
+    return table(spark, sf_dir, "documents").select("doc_id", "text").mapInPandas(mask, "doc_id bigint, text string")
+
+
 def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     def cases(batches):
         for b in batches:

@@ -7,9 +7,9 @@ from codelens.llm.foreign import p3_found
 from codelens.llm.grams import p2_found, p2_frequencies
 from codelens.llm.leaks import p9_found
 from codelens.llm.licences import p5_found
-from codelens.llm.personal import p10_found
+from codelens.llm.personal import p10_found, p10_masked
 from codelens.llm.prose import p6_found, p7_found
-from codelens.llm.secrets import p4_found
+from codelens.llm.secrets import p4_found, p4_masked
 from codelens.llm.syntax import p1_found
 
 QUERIES = {
@@ -18,12 +18,14 @@ QUERIES = {
     "p2_frequencies": p2_frequencies,
     "p3_found": p3_found,
     "p4_found": p4_found,
+    "p4_masked": p4_masked,
     "p5_found": p5_found,
     "p6_found": p6_found,
     "p7_found": p7_found,
     "p8_containers": containers,
     "p9_found": p9_found,
     "p10_found": p10_found,
+    "p10_masked": p10_masked,
 }
 
 P2_SQL = """

@@ -1,12 +1,23 @@
-"""Problem 4: lines that hold credentials, and the content with the credentials masked."""
+"""Problem 4: lines that hold credentials, and the content with the credentials masked.
+
+Three passes. (1) Every literal of the corpus is indexed: string literals, and bare values
+in the places that credentials stand in, with the repositories that hold them and whether
+one of its places says that it is a credential (its name, its form, a URL, a header, a
+command). (2) Literals that more than OWNERS repositories share are placeholders; of the
+others those that are rare, drawn in form and said to be credentials somewhere are secrets.
+(3) Every file is searched for all secrets with an Aho-Corasick automaton, so that a secret
+is found where nothing but its characters says what it is."""
 
 from __future__ import annotations
 
 import re
 from bisect import bisect_right
+from functools import reduce
 
+import ahocorasick
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from codelens.corpus import files
 
@@ -98,28 +109,124 @@ def secret_name(name: str) -> bool:
     return bool(SECRET_NAME.search(name)) and (not NOT_SECRET_NAME.search(name) or bool(NAMED_ID.search(name)))
 
 
-def secret_lines(text: str) -> list[int]:
+#: A literal in more repositories is shared on purpose.
+OWNERS = 5
+#: Shorter secrets (parts of one that is written over several lines, say) count in the file they were found in.
+LEAST_SHARED = 10
+#: Secrets looked for in one pass over the files. More mean more passes.
+SECRETS_PER_PASS = 500_000
+VALUE = re.compile(r"""(?P<q>["'`])(?P<v>(?:(?!(?P=q))[^\n\\]|\\.){6,})(?P=q)""")
+
+
+def literals(text: str) -> list[tuple[str, bool]]:
+    """(literal, whether this place says that it is a credential)."""
+    said = {text[a:b] for a, b in spans(text)}
+    return [(v, True) for v in said if v.strip()] + [(v, False) for v in {m["v"] for m in VALUE.finditer(text)} - said]
+
+
+def literal_index(code: DataFrame) -> DataFrame:
+    """(literal, owners, said): over all files. code: repo_id, content."""
+
+    def each(batches):
+        for b in batches:
+            seen: dict[tuple, bool] = {}  # a literal once per repository and batch
+            for r, t in zip(b["repo_id"], b["content"]):
+                for v, said in literals(t) if t else ():
+                    seen[v, r] = seen.get((v, r), False) or said
+            yield pd.DataFrame([(v, None if pd.isna(r) else int(r), said) for (v, r), said in seen.items()], columns=["literal", "repo_id", "said"]).astype({"repo_id": "Int64"})
+
+    per_repo = code.select("repo_id", "content").mapInPandas(each, "literal string, repo_id bigint, said boolean").groupBy("literal", "repo_id").agg(F.max("said").alias("said"))
+    return per_repo.groupBy("literal").agg(F.count(F.lit(1)).alias("owners"), F.max("said").alias("said"))
+
+
+def confirmed(index: DataFrame) -> DataFrame:
+    """Literals that are secrets."""
+    return index.where((F.col("owners") <= OWNERS) & F.col("said")).select("literal")
+
+
+def automaton(secrets: list[str]) -> ahocorasick.Automaton:
+    a = ahocorasick.Automaton()
+    for v in secrets:
+        a.add_word(v, len(v))
+    a.make_automaton()
+    return a
+
+
+EDGE = re.compile(r"[A-Za-z0-9]")
+
+
+def whole(text: str, a: int, b: int) -> bool:
+    """Whether a value does not go on to either side."""
+    return not (a and EDGE.match(text[a]) and EDGE.match(text[a - 1])) and not (b < len(text) and EDGE.match(text[b - 1]) and EDGE.match(text[b]))
+
+
+def places(text: str, shared: ahocorasick.Automaton) -> list[tuple[int, int]]:
+    """Spans of all secrets in a text, and of short parts where the text itself says so."""
+    own = spans(text)
+    got = {(a, b) for a, b in own if b - a < LEAST_SHARED}
+    multi = {(a, b) for a, b in own if "\n" in text[a:b]}
+    if len(shared):
+        for end, length in shared.iter(text):
+            a, b = end - length + 1, end + 1
+            if whole(text, a, b) or (a, b) in own:
+                got.add((a, b))
+    return sorted(got | multi)
+
+
+def secrets_of(code: DataFrame, secrets_per_pass: int = SECRETS_PER_PASS) -> list[list[str]]:
+    """The secrets in blocks of bounded size: each is fetched when its turn comes."""
+    found = confirmed(literal_index(code)).where(F.length("literal") >= LEAST_SHARED).persist()
+    passes = max(1, -(-found.count() // secrets_per_pass))
+    return [[r.literal for r in found.where(F.pmod(F.xxhash64("literal"), F.lit(passes)) == k).collect()] for k in range(passes)]
+
+
+def lines_of(text: str, at: list[tuple[int, int]]) -> list[int]:
     starts = [0] + [m.end() for m in re.finditer("\n", text)]
     found: set[int] = set()
-    for a, b in spans(text):
+    for a, b in at:
         found.update(range(bisect_right(starts, a) - 1, bisect_right(starts, max(a, b - 1))))
     return sorted(found)
 
 
-def masked(text: str) -> str:
-    out, at = [], 0
-    for a, b in sorted(set(spans(text))):
-        if a >= at:
-            out += [text[at:a], "<secret>"]
-            at = b
-    return "".join([*out, text[at:]])
+def masked(text: str, at: list[tuple[int, int]] | None = None) -> str:
+    """The text with <secret> in the place of each; all else stays, so that the code around it does too."""
+    out, end = [], 0
+    for a, b in sorted(set(spans(text) if at is None else at)):
+        if a >= end:
+            out += [text[end:a], "<secret>"]
+            end = b
+    return "".join([*out, text[end:]])
+
+
+def _code(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return files(spark, sf_dir).where("language != 'markdown' and content is not null").select("doc_id", "repo_id", "content")
 
 
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The lines of code_lines are those of source_files, so every line is read there."""
+    code = _code(spark, sf_dir)
 
-    def cases(batches):
-        for b in batches:
-            yield pd.DataFrame([(d, n) for d, t in zip(b["doc_id"], b["content"]) if t for n in secret_lines(t)], columns=["doc_id", "line_no"]).astype({"doc_id": "int64", "line_no": "int32"})
+    def one_pass(secrets: list[str]) -> DataFrame:
+        def cases(batches):
+            shared = automaton(secrets)
+            for b in batches:
+                yield pd.DataFrame([(d, n) for d, t in zip(b["doc_id"], b["content"]) if t for n in lines_of(t, places(t, shared))], columns=["doc_id", "line_no"]).astype({"doc_id": "int64", "line_no": "int32"})
+
+        return code.select("doc_id", "content").mapInPandas(cases, "doc_id bigint, line_no int")
+
+    return reduce(DataFrame.unionByName, map(one_pass, secrets_of(code))).distinct()
+
+
+def p4_masked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, content) of the files that hold secrets, masked. Passes follow each other, each on what the one before left."""
+    code = _code(spark, sf_dir).select("doc_id", "content", F.lit(False).alias("found"))
+    for secrets in secrets_of(_code(spark, sf_dir)):
+
+        def mask(batches, secrets=secrets):
+            shared = automaton(secrets)
+            for b in batches:
+                at = [places(t, shared) if t else [] for t in b["content"]]
+                yield pd.DataFrame({"doc_id": b["doc_id"], "content": [masked(t, x) if x else t for t, x in zip(b["content"], at)], "found": [f or bool(x) for f, x in zip(b["found"], at)]})
 
-    return files(spark, sf_dir).where("language != 'markdown'").select("doc_id", "content").mapInPandas(cases, "doc_id bigint, line_no int")
+        code = code.mapInPandas(mask, "doc_id bigint, content string, found boolean")
+    return code.where("found").select("doc_id", "content")
