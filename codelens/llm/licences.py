@@ -1,4 +1,13 @@
-"""Problem 5: the licence of every repository and file, with conflicts and unknown ones."""
+"""Problem 5: the licence of every repository and file, with conflicts and unknown ones.
+
+Templates (bodies, notices, and titles in the sentences that state them) are kept by length
+in a metric tree under the edit distance of their words, which is computed for a whole word
+of bits at a time. Statements of a file go down the tree with a bounded difference; the
+triangle inequality leaves out branches that cannot hold anything so near. What the tree
+finds is then read exactly, as a version or an "or later" is a difference of one word.
+
+license_texts has 12 rows, whatever the size of the rest (TESTDATA.md), so its templates go
+to every task."""
 
 from __future__ import annotations
 
@@ -25,6 +34,72 @@ def flat(text: str) -> str:
     return " " + " ".join(re.findall(r"[^\W_]+(?:\.\d+)*", text.lower())) + " "
 
 
+def edit_distance(a: list[str], b: list[str]) -> int:
+    """Words to insert, delete or replace (Myers' bit vectors in Hyyro's form, for whole texts)."""
+    m = len(a)
+    if not m or not b:
+        return max(m, len(b))
+    places: dict[str, int] = {}
+    for i, w in enumerate(a):
+        places[w] = places.get(w, 0) | 1 << i
+    mask, high = (1 << m) - 1, 1 << m - 1
+    plus, minus, score = mask, 0, m
+    for w in b:
+        eq = places.get(w, 0)
+        zero = ((eq & plus) + plus ^ plus) | eq | minus
+        up = minus | ~(zero | plus) & mask
+        down = plus & zero
+        score += bool(up & high) - bool(down & high)
+        up = up << 1 | 1
+        plus = (down << 1 | ~(zero | up)) & mask
+        minus = up & zero & mask
+    return score
+
+
+class MetricTree:
+    """Templates by their distance to the template above (Burkhard-Keller)."""
+
+    def __init__(self, templates: list[tuple[str, list[str]]]):
+        self.root: tuple | None = None
+        for key, words in sorted(templates, key=lambda t: (len(t[1]), t)):
+            self.add(key, words)
+
+    def add(self, key: str, words: list[str]) -> None:
+        if self.root is None:
+            self.root = (key, words, {})
+            return
+        node = self.root
+        while True:
+            d = edit_distance(words, node[1])
+            if d not in node[2]:
+                node[2][d] = (key, words, {})
+                return
+            node = node[2][d]
+
+    def nearest(self, words: list[str], most: float) -> tuple[str, int] | None:
+        """The key of the nearest template and its distance, if that is no more than allowed."""
+        best: tuple[str, int] | None = None
+        pending = [self.root] if self.root else []
+        while pending:
+            key, own, children = pending.pop()
+            d = edit_distance(own, words)
+            if d <= most:
+                best, most = (key, d), d - 1  # only a nearer one is of interest
+            reach = most if best is None else best[1]
+            pending += [c for at, c in children.items() if abs(at - d) <= reach]
+        return best
+
+
+#: Share of words in which a statement may differ from a template for the tree to find it.
+DIFFERENCE = 0.34
+#: Share in which a whole text may differ from a licence's body and still be that licence.
+BODY_DIFFERENCE = 0.02
+SENTENCE_END = re.compile(r"(?<=[.!?])\s+|\n\s*\n|(?<=:)\n")
+COPYRIGHT = re.compile(r"(?im)^[^\w\n]*(?:copyright|\(c\)|©)[^\n]*$")
+#: Sentences that titles stand in.
+FRAMES = ("{}", "license {}", "licensed under the {}", "released under the {}", "is free to use under the {}", "offered under the {} and the {}", "use it under the {} or the {} at your choice")
+
+
 class Licences:
     def __init__(self, rows: list[tuple[str, str, str, str]]):
         """rows: (license_id, title, notice, full_text)"""
@@ -42,6 +117,39 @@ class Licences:
             tail = rf"\s+(?:version\s+|v\s*)?v?{re.escape(version)}(?![\d.]*\d)" if version else r"\b"
             self.titles.append((re.compile(rf"(?<=\s){words}{tail}"), ids))
 
+        known = []
+        for i, title, notice, full in rows:
+            body = full.split("\n", 1)[1] if full.startswith(title) else full
+            known += [(f"body:{i}", flat(body).split()), (f"body:{i}", flat(title + " " + body).split()), (f"notice:{i}", flat(notice.split(". See ")[0]).split()), (f"notice:{i}", flat(notice).split())]
+            known += [(f"title:{i}", flat(frame.format(title, title)).split()) for frame in FRAMES]
+        self.tree = MetricTree(known)
+        self.vocabulary = {w for _, words in known for w in words}
+        self.title_begins = {flat(title).split()[0] for title in by_title}
+        self.title_lengths = sorted({len(flat(title).split()) + k for title in by_title for k in (-1, 0, 1)} - {0, 1})
+
+    def near(self, text: str) -> tuple[bool, str | None]:
+        """Whether a part of the text is near to a template, and the licence whose body the whole text is but for a few words."""
+        text = COPYRIGHT.sub("", text)
+        whole = flat(text).split()
+        found = None
+        if len(whole) >= 40 and (body := self.tree.nearest(whole, BODY_DIFFERENCE * len(whole))) and body[0].startswith("body:"):
+            found = body[0][5:]
+        if found:
+            return True, found
+        for sentence in SENTENCE_END.split(text):
+            words = re.sub(r" v(?=\d)", " version ", flat(sentence)).split()
+            # a template at this distance shares most of its words
+            shared = sum(w in self.vocabulary for w in words)
+            if shared < 2:
+                continue
+            if shared > 3 and shared >= (1 - DIFFERENCE) * len(words) and self.tree.nearest(words, DIFFERENCE * len(words)):
+                return True, None
+            # a title may stand in a longer sentence: runs that begin as one does
+            for k, w in enumerate(words):
+                if w in self.title_begins and any(self.tree.nearest(words[k : k + n], DIFFERENCE * n) for n in self.title_lengths):
+                    return True, None
+        return False, None
+
     def of_ids(self, expression: str) -> str:
         expression = re.sub(r"\*/.*|-->.*|[()]", "", expression).strip()
         parts = [p.strip().lower() for p in re.split(r"(?i)\s+or\s+|\s*\|\|?\s*", expression)]
@@ -79,7 +187,10 @@ class Licences:
             if m[1].strip(" */-"):
                 stated.append(self.of_ids(m[1]))
         text = ID_LINE.sub("\n", text)
-        named = self.named(flat(text))
+        near, body = self.near(text)
+        named = self.named(flat(text)) if near else []
+        if not named and body:
+            named = [body]
         if len(named) > 1 and EITHER.search(text):
             named = [" OR ".join(sorted(named))]
         if not named and not stated and (whole or STATES.search(re.sub(r"\s+", " ", text))):
