@@ -1,4 +1,13 @@
-"""Problem 3: files that nobody wrote by hand for their repository."""
+"""Problem 3: files that nobody wrote by hand for their repository.
+
+Declared: attribute files of repositories (codelens.llm.attributes). Mined, for the
+repositories that declare nothing: names of folders that others' code is kept in. Such a
+folder is told by what stands in it: in several repositories nearly all its files lie in
+folders named after projects, names that hardly stand anywhere else, whereas what lies in an
+ordinary folder has names that stand in many. A folder is mined as well if its files are
+declared in several repositories. Besides, files are judged by their own content (made by a
+tool, compressed, data), and copies of files of a repository that their path names are found
+by content."""
 
 from __future__ import annotations
 
@@ -9,9 +18,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from codelens.corpus import files, table
+from codelens.llm import attributes
 from codelens.llm.source import tokens
 
-OTHERS = re.compile(r"(?:^|/)(?:node_modules|bower_components|jspm_packages|vendor|third[_-]?party|3rd[_-]?party|thirdparty|external|deps|Godeps|Pods|Carthage|site-packages)/")
+#: Repositories that a folder must stand in, and its files at least, to be mined.
+LEAST_REPOS, LEAST_FILES = 2, 5
+#: Share of a folder's files that must lie in folders named after projects, or be declared.
+MINED_SHARE = 0.9
+#: A name is a project's if it stands under no more than this share of the folders that names stand under at the median.
+RARE_PARENTS = 0.25
 MADE = re.compile(
     r"(?i)\bgenerated (?:by|from|with)\b.*\bdo not (?:edit|modify)|^\W*@generated\b|<auto-?generated\b|^\W*auto-?generated\b.*(?:\(|do not|by|regenerate)|\bdo not (?:edit|modify)\b.*\b(?:generated|by hand)\b|"
     r"^\W*(?:eslint-disable|prettier-ignore|noqa|nolint) -- output of|(?:regenerate|re-generate) instead of editing|produced (?:from|by) .*\b(?:do not (?:edit|modify)|by hand)|this file (?:was|is) (?:automatically )?(?:generated|produced|created) (?:automatically )?by|automatisch (?:erzeugt|generiert|erstellt)|自动生成|自動生成|généré automatiquement|généré par|generado (?:automáticamente|por)|автоматически (?:создан|сгенерирован)|сгенерирован"
@@ -63,27 +78,69 @@ def data(language: str, text: str) -> bool:
     return held > 0.5 * len(text)
 
 
+def pair(parts, n):
+    """Names of a folder and the one above it; null at the root."""
+    return F.when(n > 1, F.concat_ws("/", F.get(parts, n - 2), F.get(parts, n - 1)))
+
+
+def mined(paths: DataFrame, declared_ids: DataFrame | None = None) -> DataFrame:
+    """(folder): names of folders, or of two one in the other, that hold others' code. paths: doc_id, repo_id, path."""
+    inner = lambda parts, n: F.when(n < F.size(parts) - 1, F.get(parts, n))
+    parts = F.split("path", "/")
+    steps = F.transform(F.sequence(F.lit(1), F.size(parts) - 1), lambda n: F.array(F.struct(F.get(parts, n - 1).alias("folder"), inner(parts, n).alias("inner")), F.struct(pair(parts, n).alias("folder"), inner(parts, n).alias("inner"))))
+    edges = paths.where(F.size(parts) > 1).select("doc_id", "repo_id", F.inline(F.flatten(steps))).where("folder != ''")
+    counted = edges.groupBy("folder", "inner", "repo_id").agg(F.count("*").alias("n"))  # no more rows than folders of repositories from here
+    parents = counted.where("inner is not null and not contains(folder, '/')").groupBy("inner").agg(F.count_distinct("folder").alias("parents"), F.sum("n").alias("files"))
+    usual = parents.agg(F.percentile_approx("parents", 0.5).alias("m")).scalar()
+    rare = parents.where(F.col("parents") <= F.greatest(F.lit(1), F.floor(RARE_PARENTS * usual))).select("inner", F.lit(True).alias("rare"))
+    each = counted.join(rare, "inner", "left").groupBy("folder").agg(
+        F.sum("n").alias("n"), F.sum(F.when(F.col("rare"), F.col("n")).otherwise(0)).alias("rare"), F.count_distinct("repo_id").alias("repos"), F.count_distinct("inner").alias("inners")
+    )
+    by_names = each.where((F.col("repos") >= LEAST_REPOS) & (F.col("n") >= LEAST_FILES) & (F.col("inners") >= LEAST_REPOS) & (F.col("rare") >= MINED_SHARE * F.col("n"))).select("folder")
+    if declared_ids is None:
+        return by_names
+    marks = edges.select("doc_id", "repo_id", "folder").distinct().join(declared_ids.withColumn("declared", F.lit(1)), "doc_id", "left")
+    said = marks.groupBy("folder").agg(F.count("*").alias("n"), F.count("declared").alias("d"), F.count_distinct(F.when(F.col("declared") == 1, F.col("repo_id"))).alias("repos"))
+    by_marks = said.where((F.col("repos") >= LEAST_REPOS) & (F.col("d") >= MINED_SHARE * F.col("n"))).select("folder")
+    return by_names.union(by_marks).distinct()
+
+
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    f = files(spark, sf_dir).withColumn("path", F.coalesce("path_in_repo", "local_path")).where("content is not null")
+    repos = table(spark, sf_dir, "repos")
+    roots = repos.groupBy("repo_id").agg(F.max("local_path").alias("root"))
+    f = files(spark, sf_dir).where("content is not null").join(roots, "repo_id", "left")
+    inside = F.expr("case when root is not null and startswith(local_path, root || '/') then substr(local_path, length(root) + 2) end")
+    f = f.withColumn("path", F.coalesce("path_in_repo", inside, "local_path"))
     code = f.where("language not in ('text', 'markdown')")
 
     def cases(batches):
         for b in batches:
-            yield pd.DataFrame({"doc_id": [
-                d for d, p, n, t in zip(b["doc_id"], b["path"], b["language"], b["content"])
-                if OTHERS.search(p or "") or t and (made_by_tool(n, t) or counted(t) or compressed(n, t) or data(n, t))
-            ]}, dtype="int64")
+            yield pd.DataFrame({"doc_id": [d for d, n, t in zip(b["doc_id"], b["language"], b["content"]) if t and (made_by_tool(n, t) or counted(t) or compressed(n, t) or data(n, t))]}, dtype="int64")
 
-    found = code.select("doc_id", "path", "language", "content").mapInPandas(cases, "doc_id bigint")
+    found = code.select("doc_id", "language", "content").mapInPandas(cases, "doc_id bigint")
+    declared = attributes.declared(f.select("doc_id", "repo_id", "path", "content"))
+    folders = mined(code.select("doc_id", "repo_id", "path"), declared)
+    parts = F.split("path", "/")
+    above = F.flatten(F.transform(F.sequence(F.lit(1), F.size(parts) - 1), lambda n: F.array(F.get(parts, n - 1), pair(parts, n))))
+    inner = code.where(F.size(parts) > 1).select("doc_id", F.explode(above).alias("folder"))
+    kept = inner.join(folders, "folder", "left_semi").select("doc_id")
+    known = code.select("doc_id").join(declared, "doc_id", "left_semi")
 
     def last(c: str):
         return F.lower(F.regexp_extract(F.col(c), r"([^/:]+?)(?:\.git)?/*$", 1))
 
-    repos = table(spark, sf_dir, "repos")
     names = repos.select("repo_id", last("remote_url").alias("seg")).union(repos.select("repo_id", last("local_path"))).where("seg != ''").distinct().withColumnRenamed("repo_id", "of_repo")
     body = code.where("length(content) >= 40").select("doc_id", "repo_id", "path", F.xxhash64(F.regexp_replace("content", r"\s+", "")).alias("body"))
     named = body.select("doc_id", "repo_id", "body", F.explode(F.split(F.lower(F.regexp_replace("path", r"/?[^/]*$", "")), "/")).alias("seg")).where("seg != ''")
     named = named.join(names, "seg").where("of_repo != repo_id").select("doc_id", "of_repo", "body")
     origins = body.select(F.col("repo_id").alias("of_repo"), "body").distinct()
     copies = named.join(origins, ["of_repo", "body"]).select("doc_id")
-    return found.union(copies).distinct()
+    return found.union(kept).union(known).union(copies).distinct()
+
+
+def p3_mined(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The names of folders that are mined."""
+    repos = table(spark, sf_dir, "repos").groupBy("repo_id").agg(F.max("local_path").alias("root"))
+    f = files(spark, sf_dir).join(repos, "repo_id", "left").where("language not in ('text', 'markdown')")
+    inside = F.expr("case when root is not null and startswith(local_path, root || '/') then substr(local_path, length(root) + 2) end")
+    return mined(f.select("doc_id", "repo_id", F.coalesce("path_in_repo", inside, "local_path").alias("path")))

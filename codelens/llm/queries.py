@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from codelens.llm.containers import containers
-from codelens.llm.foreign import p3_found
+from codelens.llm.foreign import p3_found, p3_mined
 from codelens.llm.grams import p2_found, p2_frequencies
 from codelens.llm.leaks import p9_found
 from codelens.llm.licences import p5_found
@@ -17,6 +17,7 @@ QUERIES = {
     "p2_found": p2_found,
     "p2_frequencies": p2_frequencies,
     "p3_found": p3_found,
+    "p3_mined": p3_mined,
     "p4_found": p4_found,
     "p4_masked": p4_masked,
     "p5_found": p5_found,
