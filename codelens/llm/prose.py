@@ -10,6 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 
 from codelens.corpus import files
+from codelens.llm.grammars import LANGUAGES, Parsed
 from codelens.llm.source import tokens
 from codelens.llm.syntax import valid
 
@@ -157,84 +158,39 @@ def above(text: str, starts: dict[int, str], line: int, lines: list[str], annota
     return out
 
 
-NAMES_NOT = set("if for while switch catch return else do new synchronized sizeof function func match loop throw await yield typeof assert super this".split())
 ANNOTATION = {"java": r"^\s*@\w", "rust": r"^\s*#!?\[", "python": r"^\s*@\w", "c": r"^\s*(?:__attribute__|\[\[)", "javascript": r"^\s*@\w", "go": None}
 
 
-def definitions(language: str, text: str, toks: list[tuple[str, str, int]]) -> list[tuple[str, int, int]]:
-    """(name, place of the name, place where its declaration begins) of functions and methods with a body."""
-    code = [t for t in toks if t[0] != "comment"]
-    close: dict[int, int] = {}
-    stack: list[int] = []
-    for k, (kind, t, _) in enumerate(code):
-        if kind == "sign" and t in "([{":
-            stack.append(k)
-        elif kind == "sign" and t in ")]}" and stack:
-            close[stack.pop()] = k
-    out: list[tuple[str, int, int]] = []
-    begin = 0  # of the statement
-    word = lambda k: 0 <= k < len(code) and code[k][0] == "word"
-    sign = lambda k, *ts: 0 <= k < len(code) and code[k][1] in ts
-    for k, (kind, t, at) in enumerate(code):
-        if kind == "pre" or kind == "sign" and t in (";", "{", "}"):
-            begin = k + 1
-        if kind != "word" or t in NAMES_NOT:
-            continue
-        name = None
-        if language in ("go", "rust"):
-            key = "func" if language == "go" else "fn"
-            direct = word(k - 1) and code[k - 1][1] == key
-            method = language == "go" and sign(k - 1, ")") and any(close.get(i) == k - 1 and i and code[i - 1][1] == "func" for i in range(max(0, k - 12), k))
-            if direct or method:
-                p = k + 1
-                depth = 0
-                while p < len(code) and not (depth == 0 and code[p][1] in ("{", ";")):
-                    if language == "go" and depth == 0 and p > k + 1 and "\n" in text[code[p - 1][2] + len(code[p - 1][1]) : code[p][2]]:
-                        break
-                    if code[p][1] in ("(", "[") and p in close:
-                        p = close[p]
-                    if language == "go" and code[p][1] in ("interface", "struct") and sign(p + 1, "{") and p + 1 in close:
-                        p = close[p + 1]
-                    p += 1
-                if sign(p, "{"):
-                    name = t
-        elif language in ("c", "java"):
-            if sign(k + 1, "(") and k + 1 in close and k > begin and (word(k - 1) and code[k - 1][1] not in NAMES_NOT or sign(k - 1, "*", ">", "]")):
-                p = close[k + 1] + 1
-                if language == "java" and word(p) and code[p][1] == "throws":
-                    while p < len(code) and not sign(p, "{", ";"):
-                        p += 1
-                if sign(p, "{") and not any(code[i][1] in ("=", "return", "new") for i in range(begin, k)):
-                    name = t
-        elif language == "javascript":
-            if (word(k - 1) and code[k - 1][1] == "function" or sign(k - 1, "*") and word(k - 2) and code[k - 2][1] == "function") and sign(k + 1, "("):
-                name = t
-            elif sign(k + 1, "=") and word(k - 1) and code[k - 1][1] in ("const", "let", "var"):
-                p = k + 2 + (word(k + 2) and code[k + 2][1] == "async")
-                if word(p) and code[p][1] == "function" or sign(p, "(") and sign(close.get(p, -9) + 1, "=>") or word(p) and sign(p + 1, "=>"):
-                    name = t
-            elif sign(k + 1, "(") and sign(close.get(k + 1, -9) + 1, "{") and (sign(k - 1, "{", "}", ";", "*", ",") or word(k - 1) and code[k - 1][1] in ("async", "static", "get", "set")):
-                name = t
-        if name:
-            b = begin
-            while language == "java" and sign(b, "@") and word(b + 1):
-                b += 2
-                while sign(b, "."):
-                    b += 2
-                if sign(b, "(") and b in close:
-                    b = close[b] + 1
-            while language == "rust" and sign(b, "#"):
-                b += 1 + sign(b + 1, "!")
-                b = close.get(b, b) + 1
-            if language in ("go", "javascript"):
-                line = text.rfind("\n", 0, at) + 1
-                b = next((i for i in range(max(begin, 0), k + 1) if code[i][2] >= line), k)
-            out.append((name, at, code[min(b, k)][2]))
+def definitions(parsed: Parsed, text: str) -> list[tuple[str, int, set[int]]]:
+    """(name, place of the name, places where its declaration may be said to begin) of functions and methods with a body, as the parser noted them."""
+    out = []
+    for first, name, _, _ in parsed.notes or ():
+        at = parsed.starts[name]
+        line = text.rfind("\n", 0, at) + 1
+        k = name
+        while k and parsed.starts[k - 1] >= line:
+            k -= 1
+        out.append((parsed.texts[name], at, {parsed.starts[first], parsed.starts[k]}))  # with annotations and modifiers above, and on the name's own line
     return out
 
 
-def documented(language: str, text: str) -> set[tuple[str, int]]:
-    if language in ("json", "yaml", "text", "markdown"):
+def documented(language: str, text: str) -> set[tuple[str, int]] | None:
+    """(name, line) of documented definitions; None for an invalid file."""
+    if language not in (*LANGUAGES, "python"):
+        return set()
+    text = text.lstrip("\ufeff")
+    if language == "python":
+        try:
+            with warnings.catch_warnings():
+                warnings.simplefilter("ignore")
+                tree = ast.parse(text)
+        except (SyntaxError, ValueError, RecursionError, MemoryError):
+            return None
+    else:
+        parsed = Parsed(language, text)
+        if not parsed.valid and text.strip():
+            return None
+    if language == "python" and "def " not in text or language != "python" and not parsed.notes:
         return set()
     toks = tokens(language, text)
     lines = text.split("\n")
@@ -252,9 +208,6 @@ def documented(language: str, text: str) -> set[tuple[str, int]]:
                 ends[e] = t
     found: set[tuple[str, int]] = set()
     if language == "python":
-        with warnings.catch_warnings():
-            warnings.simplefilter("ignore")
-            tree = ast.parse(text)
         for node in ast.walk(tree):
             if isinstance(node, (ast.FunctionDef, ast.AsyncFunctionDef)):
                 doc = ast.get_docstring(node, clean=True) or ""
@@ -262,8 +215,8 @@ def documented(language: str, text: str) -> set[tuple[str, int]]:
                 if documents(doc.splitlines(), node.name) or documents(above(text, ends, first, lines, None), node.name):
                     found.add((node.name, node.lineno))
         return found
-    for name, at, begin in definitions(language, text, toks):
-        if documents(above(text, ends, line_at(begin), lines, ANNOTATION[language]), name):
+    for name, at, begins in definitions(parsed, text):
+        if any(documents(above(text, ends, line, lines, ANNOTATION[language]), name) for line in {line_at(b) for b in begins}):
             found.add((name, line_at(at) + 1))
     return found
 
@@ -273,15 +226,15 @@ def _over_files(spark: SparkSession, sf_dir: str, of, columns: str) -> DataFrame
 
     def cases(batches):
         for b in batches:
-            rows = [(d, *x) for d, n, t in zip(b["doc_id"], b["language"], b["content"]) if t and valid(n, t) for x in of(n, t)]
+            rows = [(d, *x) for d, n, t in zip(b["doc_id"], b["language"], b["content"]) if t for x in of(n, t)]
             yield pd.DataFrame(rows, columns=names).astype({c: kind for c, kind in (("doc_id", "int64"), ("line_no", "int32")) if c in names})
 
     return files(spark, sf_dir).where("language not in ('text', 'markdown')").select("doc_id", "language", "content").mapInPandas(cases, columns)
 
 
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _over_files(spark, sf_dir, lambda n, t: [(x,) for x in sorted(nl_languages(n, t))], "doc_id bigint, nl_lang string")
+    return _over_files(spark, sf_dir, lambda n, t: [(x,) for x in sorted(nl_languages(n, t))] if valid(n, t) else (), "doc_id bigint, nl_lang string")
 
 
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _over_files(spark, sf_dir, lambda n, t: sorted(documented(n, t)), "doc_id bigint, sym string, line_no int")
+    return _over_files(spark, sf_dir, lambda n, t: sorted(documented(n, t) or ()), "doc_id bigint, sym string, line_no int")

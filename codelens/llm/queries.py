@@ -10,10 +10,12 @@ from codelens.llm.licences import p5_found
 from codelens.llm.personal import p10_found, p10_masked
 from codelens.llm.prose import p6_found, p7_found
 from codelens.llm.secrets import p4_found, p4_masked
-from codelens.llm.syntax import p1_found
+from codelens.llm.syntax import p1_faults, p1_found, p1_rates
 
 QUERIES = {
     "p1_found": p1_found,
+    "p1_faults": p1_faults,
+    "p1_rates": p1_rates,
     "p2_found": p2_found,
     "p2_frequencies": p2_frequencies,
     "p3_found": p3_found,

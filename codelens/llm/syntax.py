@@ -1,8 +1,10 @@
 """Problem 1: files whose whole content is not valid syntax of their language.
 
-python, json and yaml go through their parsers. For go, java, javascript, c and
-rust there is no parser here: tokens, brackets, the beginnings of top-level
-declarations and which tokens may stand next to each other are checked."""
+Each file is parsed by the grammar of its language: go, java, javascript, c and rust by
+packrat parsers (codelens.llm.grammars); python by Python's own, which is one as well; json
+and yaml by their deterministic parsers. A file that fails goes through all other grammars,
+in the order in which its tokens speak for them: one that succeeds says that the file is
+filed under a wrong extension, none that it is corrupt."""
 
 from __future__ import annotations
 
@@ -10,167 +12,20 @@ import ast
 import json
 import re
 import warnings
+from collections import Counter
 
 import pandas as pd
 import yaml
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from codelens.corpus import files
-from codelens.llm.source import tokens
-
-PAIRS = {")": "(", "]": "[", "}": "{"}
-TOP = {
-    "go": set("package import func var const type".split()),
-    "java": set("package import class interface enum record public private protected static final abstract sealed non @ ; strictfp".split()),
-    "rust": set("use pub fn const static struct enum impl trait mod type extern unsafe async macro_rules union # ;".split()),
-}
-KEYWORDS = {
-    "go": set("break case chan const continue default defer else fallthrough for func go goto if import interface map package range return select struct switch type var".split()),
-    "java": set("abstract assert break case catch class continue default do else enum extends final finally for if implements import instanceof interface native new package private protected public return static strictfp super switch synchronized throw throws transient try volatile while yield".split()),
-    "javascript": set("async await break case catch class const continue debugger default delete do else export extends finally for from function get if import in instanceof let new of return set static switch throw try typeof var void while with yield as".split()),
-    "c": set("break case const continue default do else enum extern for goto if inline register restrict return sizeof static struct switch typedef union volatile while unsigned signed long short int char float double void".split()),
-    "rust": set("as async await break const continue crate dyn else enum extern fn for if impl in let loop match mod move mut pub ref return static struct trait type union unsafe use where while".split()),
-}
-BINARY = set("= == === != !== <= >= += -= *= /= %= && || ?? , . := => / % ^ |".split())
-PREFIX_KEYWORDS = set("return case throw new typeof delete void await yield in of instanceof else do".split())
-
-
-def brackets(toks: list[tuple[str, str, int]]) -> bool:
-    open_ = []
-    for kind, t, _ in toks:
-        if kind == "sign":
-            if t in "([{":
-                open_.append(t)
-            elif t in PAIRS and (not open_ or open_.pop() != PAIRS[t]):
-                return False
-    return not open_
-
-
-def neighbours(language: str, text: str, toks: list[tuple[str, str, int]]) -> bool:
-    """Whether no two tokens stand next to each other that never can."""
-    words = KEYWORDS[language]
-    newline_ends = language in ("go", "javascript")
-    depth: list[str] = []
-    heads: list[bool] = []  # of each open bracket: whether what follows its end begins anew, as after if (...), @Name(...) or #[...]
-    fields: list[bool] = []  # whether it is the body of a struct or interface
-    ended = False
-    before = ("sign", ";", 0)
-    start = True  # of a statement or parameter, where a type may stand before a name
-    for k, tok in enumerate(toks):
-        kind, t, at = tok
-        pk, pt, pa = before
-        broken = newline_ends and "\n" in text[pa + len(pt) : at] and (not depth or depth[-1] == "{")
-        operand = kind in ("string", "number") or kind == "word" and t not in words
-        p_operand = pk in ("string", "number") or pk == "word" and pt not in words or pk == "sign" and pt in (")", "]")
-        if kind == "bad":
-            return False
-        if ended:
-            broken = True
-        if operand and p_operand and not broken:
-            typed = pk == "word" and kind == "word" or pk == "sign" and kind == "word" and (pt == "]" or language == "go")
-            if kind != "word" and not (pk == "word" and language == "go" and kind == "string" or pk == "string" and kind == "string" and language == "c" or pk == "word" and kind == "string" and pt in ("extern", "from", "module", "requires")):
-                return False
-            if pk in ("string", "number"):
-                return False
-            if kind == "word" and language in ("javascript", "rust") and pk == "word" and pt not in ("macro_rules", "default", "auto", "raw", "safe"):
-                return False
-            if kind == "word" and language in ("java", "c") and pt == ")" and not start and "\n" in text[pa + 1 : at] and t not in ("throws",):
-                return False
-            if kind == "word" and language == "go" and typed and not (depth and (depth[-1] == "(" or fields[-1])) and not start and pt != ")" and pt != "]":
-                return False
-        if kind == "word" and t in words and p_operand and not broken and t in ("return", "if", "for", "while", "let", "var", "const", "func", "fn", "function", "switch", "break", "continue", "package", "import") and not (pt == ")" or language == "rust" and t in ("if", "for")):
-            return False
-        if kind == "sign" and t == "}" and language in ("java", "c") and pk in ("word", "number", "string") and pt not in words and depth and depth[-1] == "{":
-            if not _initializer(toks, k):
-                return False
-        if kind == "sign" and t == "}" and language in ("java", "c") and pt == ")" and not _initializer(toks, k):
-            return False
-        if kind == "sign" and t in BINARY and pk == "sign" and pt in BINARY and (pt, t) not in ((",", "."), ("=", "|"), ("=", "/"), ("=>", "/"), (",", "|"), ("=", "||"), (",", "||")):
-            return False
-        if kind == "sign" and t in (")", "]", ";", "}") and pk == "sign" and pt in BINARY and not (pt == "," and t in ("]", "}", ")")) and pt != ".":
-            return False
-        if kind == "sign" and t in BINARY and t not in (".", "/", "|", "||", "%") and pk == "sign" and pt in ("(", "[", "{", ";") and not (language == "javascript" and t == "," and pt == "[") and not (language == "rust" and t == "=>"):
-            return False
-        if kind == "sign":
-            ended = False
-            if t in "([{":
-                group = language == "go" and t == "(" and pt in ("import", "var", "const", "type")
-                depth.append("{" if group or t == "{" else t)
-                fields.append(t == "{" and pt in ("struct", "interface"))
-                heads.append(t == "(" and (pt in ("if", "for", "while", "switch", "catch", "synchronized", "with") or k > 1 and toks[k - 2][1] in ("@", ".") and _annotation(toks, k - 1)) or t == "[" and pt in ("#", "!"))
-            elif t in PAIRS and depth:
-                depth.pop()
-                ended = heads.pop()
-                fields.pop()
-            start = ended or t in (";", "{", "}", "(", ",")
-        elif kind == "word":
-            ended = False
-            start = start and t in words or start and (pk == "sign" or pt in words)
-        if kind not in ("word", "sign"):
-            ended = False
-        if kind == "pre":
-            start = True
-            before = ("sign", ";", at + len(t) - 1)
-        else:
-            before = tok
-    return not (before[0] == "sign" and before[1] in BINARY)
-
-
-def _annotation(toks: list[tuple[str, str, int]], k: int) -> bool:
-    while k > 1 and toks[k][0] == "word" and toks[k - 1][1] == ".":
-        k -= 2
-    return k > 0 and toks[k - 1][1] == "@"
-
-
-def _initializer(toks: list[tuple[str, str, int]], close: int) -> bool:
-    """Whether the brace that closes at toks[close] holds values or names of an enum, not statements."""
-    depth = 0
-    for k in range(close, -1, -1):
-        kind, t, _ = toks[k]
-        if kind == "sign" and t == "}":
-            depth += 1
-        elif kind == "sign" and t == "{":
-            depth -= 1
-            if not depth:
-                back = [x[1] for x in toks[max(0, k - 4) : k]]
-                return bool(back) and (back[-1] in ("=", ",", "{", "(", "]", "return") or "enum" in back or back[-1] == ")" and "@" in back)
-    return False
-
-
-def top_level(language: str, toks: list[tuple[str, str, int]], text: str) -> bool:
-    starts = TOP.get(language)
-    depth, at_start, first = 0, True, True
-    for k, (kind, t, at) in enumerate(toks):
-        if at_start and not depth and starts is not None:
-            if first and language == "go" and t != "package":
-                return False
-            if t not in starts and not (language == "rust" and kind == "word" and k + 1 < len(toks) and toks[k + 1][1] == "!"):
-                return False
-        first = at_start = False
-        if kind == "sign":
-            if t in "([{":
-                depth += 1
-            elif t in PAIRS:
-                depth -= 1
-        if not depth and starts is not None:
-            if language == "go":
-                after = text[at + len(t) : toks[k + 1][2]] if k + 1 < len(toks) else ""
-                at_start = "\n" in after and (kind in ("word", "string", "number") or t in (")", "}", "]")) or t == ";"
-            else:
-                at_start = t in (";", "}") or language == "rust" and t == "]" and toks_attr(toks, k)
-    return bool(not first) or language != "go"
-
-
-def toks_attr(toks: list[tuple[str, str, int]], k: int) -> bool:
-    depth = 0
-    for i in range(k, -1, -1):
-        t = toks[i][1]
-        depth += (t == "]") - (t == "[")
-        if not depth:
-            return i > 0 and (toks[i - 1][1] == "#" or toks[i - 1][1] == "!" and i > 1 and toks[i - 2][1] == "#")
-    return False
-
+from codelens.llm.grammars import LANGUAGES, RESERVED, Parsed
 
+ALL = (*LANGUAGES, "python", "json", "yaml")
+PYTHON_WORDS = "and as assert async await break class continue def del elif else except finally for from global if import in is lambda nonlocal not or pass raise return try while with yield None True False"
+WORD = re.compile(r"[A-Za-z_]\w*")
+YAML_LINE, JSON_LINE = re.compile(r"(?m)^[ \t]*(?:- )?[\w.\"'-]+:(?= |$)"), re.compile(r"(?m)^[ \t]*(?:\"[^\"\n]*\"\s*:|[{}\[\]])")
 CONFLICT = re.compile(r"^(?:<{7}|>{7}|\|{7}|={7})(?: |\r?$)", re.M)
 
 
@@ -178,40 +33,98 @@ def _constant(x: str):
     raise ValueError(x)
 
 
+def _python(text: str) -> bool:
+    try:
+        with warnings.catch_warnings():
+            warnings.simplefilter("ignore")
+            ast.parse(text)
+        return True
+    except (SyntaxError, ValueError, RecursionError, MemoryError):
+        return False
+
+
+def _json(text: str) -> bool:
+    try:
+        json.loads(text, parse_constant=_constant)
+        return True
+    except (ValueError, RecursionError):
+        return False
+
+
+def _yaml(text: str) -> bool:
+    try:
+        for _ in yaml.parse(text, Loader=getattr(yaml, "CSafeLoader", yaml.SafeLoader)):
+            pass
+        return True
+    except yaml.YAMLError:
+        return False
+
+
+OTHERS = {"python": _python, "json": _json, "yaml": _yaml}
+
+
 def valid(language: str, text: str) -> bool:
+    """text and markdown are always valid, and so is an empty file but in json."""
     if language == "json":
-        try:
-            json.loads(text, parse_constant=_constant)
-            return True
-        except (ValueError, RecursionError):
-            return False
-    if language in ("text", "markdown") or not text.strip("\ufeff \t\r\n"):
-        return True
-    if language == "python":
-        try:
-            with warnings.catch_warnings():
-                warnings.simplefilter("ignore")
-                ast.parse(text)
-            return True
-        except (SyntaxError, ValueError, RecursionError, MemoryError):
-            return False
-    if language == "yaml":
-        try:
-            for _ in yaml.parse(text, Loader=getattr(yaml, "CSafeLoader", yaml.SafeLoader)):
-                pass
-            return True
-        except yaml.YAMLError:
-            return False
-    toks = [t for t in tokens(language, text.lstrip("\ufeff")) if t[0] != "comment"]
-    if language == "javascript" and text.startswith("#!"):
-        toks = [t for t in toks if t[2] > text.find("\n")]
+        return _json(text)
     text = text.lstrip("\ufeff")
-    return brackets(toks) and top_level(language, toks, text) and neighbours(language, text, toks)
+    if language not in ALL or not text.strip():
+        return True
+    return OTHERS[language](text) if language in OTHERS else Parsed(language, text).valid
 
 
-def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+def ranked(text: str) -> list[str]:
+    """Languages by the share of a text's tokens that speak for them, best first; those that none speaks for are last."""
+    words = Counter(WORD.findall(text))
+    total = sum(words.values()) or 1
+    score = {n: sum(words[w] for w in r.split()) / total for n, r in {**RESERVED, "python": PYTHON_WORDS}.items()}
+    lines = text.count("\n") + 1
+    score["yaml"], score["json"] = (len(x.findall(text)) / lines / 4 for x in (YAML_LINE, JSON_LINE))
+    if not text.lstrip().startswith(("{", "[")):
+        score["json"] = 0.0
+    return sorted(ALL, key=lambda n: (-score[n], n))
+
+
+def verdict(language: str, text: str) -> tuple[str, str | None] | None:
+    """None for a valid file, else (wrong_extension, the language that it is of) or (merge_conflict or corrupt, None)."""
+    if valid(language, text):
+        return None
+    if not text.strip():
+        return "corrupt", None
+    for other in ranked(text):
+        # a single plain value is yaml as well, whatever it is
+        if other != language and not (other == "yaml" and not YAML_LINE.search(text)) and valid(other, text):
+            return "wrong_extension", other
+    return ("merge_conflict" if CONFLICT.search(text) else "corrupt"), None
+
+
+def judged(code: DataFrame) -> DataFrame:
+    """(doc_id, fault, parses_as) of the invalid files. code: doc_id, language, content. Files without content are no cases."""
+
     def cases(batches):
         for b in batches:
-            yield pd.DataFrame({"doc_id": [d for d, n, t in zip(b["doc_id"], b["language"], b["content"]) if t is not None and not valid(n, t)]}, dtype="int64")
+            rows = [(d, *v) for d, n, t in zip(b["doc_id"], b["language"], b["content"]) if t is not None and (v := verdict(n, t))]
+            yield pd.DataFrame(rows, columns=["doc_id", "fault", "parses_as"]).astype({"doc_id": "int64"})
+
+    return code.select("doc_id", "language", "content").mapInPandas(cases, "doc_id bigint, fault string, parses_as string")
+
+
+def _code(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return files(spark, sf_dir).where("language not in ('text', 'markdown')")
+
+
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return judged(_code(spark, sf_dir)).select("doc_id")
+
+
+def p1_faults(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is wrong with each invalid file."""
+    return judged(_code(spark, sf_dir))
+
 
-    return files(spark, sf_dir).where("language not in ('text', 'markdown')").select("doc_id", "language", "content").mapInPandas(cases, "doc_id bigint")
+def p1_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(repo_id, language, n_files, n_invalid, rate) of each repository and language."""
+    code = _code(spark, sf_dir).where("content is not null")
+    each = code.select("doc_id", "repo_id", "language").join(judged(code), "doc_id", "left")
+    rates = each.groupBy("repo_id", "language").agg(F.count("*").alias("n_files"), F.count("fault").alias("n_invalid"))
+    return rates.withColumn("rate", F.col("n_invalid") / F.col("n_files"))
