@@ -1,4 +1,11 @@
-"""Prose in comments and string literals (problem 6), and functions with their documentation (problem 7)."""
+"""Prose in comments and string literals (problem 6), and functions with their documentation (problem 7).
+
+Problem 6: a hidden Markov model of characters (codelens.llm.hmm) goes over whole files; what
+it says is used inside comments and literals only. A sentence there is of the language that
+most of its letters are in; notices, tags, commands and commented-out code are left out.
+
+Problem 7: the packrat parsers of codelens.llm.grammars note definitions and where they
+stand; the comments above them, or docstrings, are kept if they say something."""
 
 from __future__ import annotations
 
@@ -6,15 +13,19 @@ import ast
 import re
 import warnings
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from codelens.corpus import files
+from codelens.corpus import files, table
 from codelens.llm.grammars import LANGUAGES, Parsed
+from codelens.llm.hmm import STATES, Model, fit
 from codelens.llm.source import tokens
 from codelens.llm.syntax import valid
 
 LEAST_WORDS, LEAST_CHARS = 5, 8
+CODE_STATE = STATES.index("code")
 HAN, KANA = r"㐀-䶿一-鿿", r"぀-ヿ"
 STOP = {
     "en": "the a an of to and is are be been in on for with that this it its as by from or if when not until so has have which each every must will while before after without may because never over into out what one once per at than there their they we our you your all but can should does do".split(),
@@ -29,7 +40,7 @@ NOTICE = re.compile(
     r"(?i)licen[cs]|copyright|\bSPDX\b|all rights reserved|lizenz|许可|授权|лиценз|licencia|\bconfidential\b|private contract|no warranty|terms, version|"
     r"permission is|(?:public|share alike|non commerce) terms|free grant|fennway permission|third parties"
 )
-TOOL = re.compile(r"(?i)do not (?:edit|modify)|(?:auto-?)?generated (?:by|from|with|file|code)|@generated|automatically generated|this file (?:was|is) (?:generated|produced|created|written)|eslint|noqa|pylint|nolint|clang-format|prettier|istanbul|go:build|go:generate|ts-ignore|type: ignore|sourceMappingURL|vim:|-\*-|NOLINT|checkstyle|spotless|rustfmt|@formatter|\bpragma\b")
+TOOL = re.compile(r"(?i)do not (?:edit|modify)|(?:auto-?)?generated (?:by|from|with|file|code)|@generated|automatically generated|this file (?:was|is) (?:generated|produced|created|written)|eslint|noqa|pylint|nolint|clang-format|prettier|istanbul|go:build|go:generate|ts-ignore|type: ignore|sourceMappingURL|autogenerated|regenerate instead|vim:|-\*-|NOLINT|checkstyle|spotless|rustfmt|@formatter|\bpragma\b")
 SQL = re.compile(r"(?i)^\W*(?:select\b.+\bfrom|insert\s+into|update\b.+\bset|delete\s+from|create\s+(?:table|index|view|database|unique)|alter\s+table|drop\s+(?:table|index)|with\b.+\bas\s*\(|merge\s+into|truncate|grant\b.+\bon)\b")
 COMMAND = re.compile(r"^\W*(?:\$ |sudo |curl |wget |git |docker |kubectl |npm |pip |go (?:run|build|test|get|vet) |cargo |make |cd |ls |rm |cp |mv |chmod |ssh |scp |export |login -|python3? |java -|mvn |gradle |bash |sh |tar |grep |sed |awk |find |cat |echo |apt(?:-get)? |brew |yarn |node |psql |mysql |redis-cli |rsync |systemctl )")
 TAG = re.compile(r"^\W*(?:[@\\](?!link|code)\w+|:\w+(?: [\w*.]+)*:|(?:Args|Arguments|Parameters|Params|Returns?|Raises|Yields|Throws|Example|Examples|See also)\s*:)")
@@ -72,6 +83,49 @@ def languages(line: str) -> set[str]:
     return {n for s in re.split(r"(?<=[.!?])\s+|(?<=[。！？])", prose(line)) if (n := language_of(s))}
 
 
+LETTER = re.compile(r"[^\W\d_]")
+SENTENCE = re.compile(r"[^.!?。！？]*(?:[.!?](?!\s|$)[^.!?。！？]*)*[.!?。！？]*\s*")
+
+
+def blanked(pattern: re.Pattern, text: str) -> str:
+    """The text with spaces in place of matches, so that all else keeps its place."""
+    return pattern.sub(lambda m: " " * len(m[0]), text)
+
+
+def prose_in_place(line: str) -> str:
+    if TAG.match(line) or SQL.match(line) or COMMAND.match(line) or TOOL.search(line) or NOTICE.search(line) or CODE.search(line):
+        return ""
+    return blanked(NOT_PROSE, blanked(MARKER, line))
+
+
+def is_sentence(sentence: str, language: str) -> bool:
+    """Whether a text is long enough and put together as a sentence of the language is."""
+    if language in ("zh", "ja"):
+        return len(re.findall(f"[{HAN}{KANA}]", sentence)) >= LEAST_CHARS
+    low = [w.lower() for w in WORDS.findall(sentence)]
+    if len(low) < LEAST_WORDS or sum(bool(WORDS.search(x)) for x in sentence.split()) < LEAST_WORDS:
+        return False
+    if language == "ru":
+        return sum(bool(re.search("[а-яё]", w)) for w in low) >= LEAST_WORDS
+    return any(w in STOP_SETS[language] or set(w) & MARKS.get(language, set()) for w in low)
+
+
+def languages_at(line: str, at: int, states: np.ndarray) -> set[str]:
+    """Languages of the sentences of a line that begins at a place of the text."""
+    said, found = prose_in_place(line), set()
+    for m in SENTENCE.finditer(said):
+        letters = [m.start() + x.start() for x in LETTER.finditer(m[0])]
+        if len(letters) < LEAST_CHARS:
+            continue
+        counts = np.bincount(states[at + np.array(letters)], minlength=len(STATES))
+        top = int(counts.argmax())
+        if top == CODE_STATE or counts[top] * 2 < len(letters):
+            continue
+        if is_sentence(m[0], STATES[top]):
+            found.add(STATES[top])
+    return found
+
+
 BEGIN = re.compile(r"^\s*(?:/\*+!?|//+!?|\*+/|\*+(?!/)|#+!?)?[ \t]?")
 
 
@@ -104,28 +158,121 @@ def blocks(text: str, toks: list[tuple[str, str, int]]) -> list[list[str]]:
     return out
 
 
-def nl_languages(language: str, text: str) -> set[str]:
+def placed_blocks(text: str, toks: list[tuple[str, str, int]]) -> list[list[tuple[int, str]]]:
+    """As blocks, with the place of each line."""
+    out: list[list[tuple[int, str]]] = []
+    end = -1
+    for kind, t, at in toks:
+        if kind != "comment":
+            end = -1
+            continue
+        lines, begin = [], at
+        for x in t.splitlines(keepends=True):
+            bare = x.rstrip("\r\n")
+            left = BEGIN.match(bare).end() if bare.strip() not in ("*/", "**/") else len(bare)
+            lines.append((begin + left, re.sub(r"\s*\*+/\s*$", "", bare[left:])))
+            begin += len(x)
+        between = text[end:at] if end >= 0 else "x"
+        own_line = not text[text.rfind("\n", 0, at) + 1 : at].strip()
+        if not between.strip() and between.count("\n") <= 1 and own_line and out:
+            out[-1] += lines
+        else:
+            out.append(lines)
+        end = at + len(t)
+    return out
+
+
+def inner_in_place(literal: str) -> tuple[int, str]:
+    """What is between the quotes, and where it begins; escapes are blanked, a line end stays one."""
+    left = re.match(r"[A-Za-z0-9]{0,2}#*", literal).end()
+    right = len(literal.rstrip("#")) if literal.endswith("#") else len(literal)
+    q = 3 if literal[left : left + 3] in ('"""', "\'\'\'") else 1
+    body = literal[left + q : right - q]
+    for escape, plain in (("\\n", " \n"), ('\\"', ' "'), ("\\'", " '"), ("\\t", "  ")):
+        body = body.replace(escape, plain)
+    return left + q, body
+
+
+def spans_of_lines(body: str, at: int):
+    for x in body.splitlines(keepends=True):
+        yield at, x.rstrip("\r\n")
+        at += len(x)
+
+
+def nl_languages(language: str, text: str, states: np.ndarray) -> set[str]:
+    """states: of every character of the text."""
     toks = tokens(language, text)
     got: set[str] = set()
-    for lines in blocks(text, toks):
-        part: list[str] = []
-        for line in [*lines, ""]:
+    for lines in placed_blocks(text, toks):
+        part: list[tuple[int, str]] = []
+        for at, line in [*lines, (0, "")]:
             if line.strip():
-                part.append(line)
+                part.append((at, line))
             elif part:
-                if not NOTICE.search(" ".join(part)):
-                    for x in part:
-                        got |= languages(x)
+                if not NOTICE.search(" ".join(x for _, x in part)):
+                    for a, x in part:
+                        got |= languages_at(x, a, states)
                 part = []
-    for kind, t, _ in toks:
+    for kind, t, at in toks:
         if kind == "string" and len(t) > 8:
-            body = inner(t)
+            left, body = inner_in_place(t)
             if not NOTICE.search(body) and not SQL.match(body):
-                for x in body.splitlines():
-                    got |= languages(x)
+                for a, x in spans_of_lines(body, at + left):
+                    got |= languages_at(x, a, states)
     return got
 
 
+#: Bounds of the sample that the model is fitted on: texts and characters of each state. All else covers all data.
+FIT_TEXTS, FIT_CHARS = 400, 300_000
+PROSE_LANGUAGES = ("en", "zh", "de", "es", "fr", "ru")
+
+
+def _ids(rows: DataFrame, n: int = FIT_TEXTS) -> list[int]:
+    """Ids of a sample that is the same in every run: the least n hashes, of which each task keeps n."""
+    return [r.doc_id for r in rows.select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(n).collect()]
+
+
+def of_script(line: str, language: str) -> bool:
+    """Whether a line is in the script of a language, as far as its label can be true."""
+    letters = len(LETTER.findall(line)) or 1
+    han, cyrillic = len(re.findall(f"[{HAN}{KANA}]", line)), len(re.findall("[а-яёА-ЯЁ]", line))
+    return han * 3 > letters if language == "zh" else cyrillic * 2 > letters if language == "ru" else not han and not cyrillic
+
+
+def fitted(documents: DataFrame, code: DataFrame) -> Model:
+    """Languages from documents by their label; Japanese, which no document is in, from literals and comments with kana in files; code from files without comments and literals."""
+    samples: dict[str, list[str]] = {s: [] for s in STATES}
+
+    def add(state: str, text: str) -> None:
+        if sum(map(len, samples[state])) + len(text) <= FIT_CHARS:
+            samples[state].append(text)
+
+    labelled = documents.where("text is not null and length(text) > 40")
+    ids = [i for n in PROSE_LANGUAGES for i in _ids(labelled.where(F.col("lang") == n))]
+    for r in labelled.where(F.col("doc_id").isin(ids)).select("doc_id", "lang", "text").orderBy("doc_id").collect():
+        for line in r.text.splitlines():
+            if len(line) > 20 and of_script(line, r.lang):
+                add(r.lang, line + "\n")
+    with_kana = code.where(F.col("content").rlike(f"[{KANA}]{{2}}"))
+    ids = {"ja": set(_ids(with_kana)), "code": set(_ids(code))}
+    for r in code.where(F.col("doc_id").isin(sorted(ids["ja"] | ids["code"]))).select("doc_id", "language", "content").orderBy("doc_id").collect():
+        toks = tokens(r.language, r.content)
+        if r.doc_id in ids["ja"]:
+            for kind, t, _ in toks:
+                if kind in ("comment", "string"):
+                    for line in t.splitlines():
+                        if len(re.findall(f"[{KANA}]", line)) >= 3:
+                            add("ja", line + "\n")
+        if r.doc_id in ids["code"]:
+            bare, end = [], 0
+            for kind, t, at in toks:
+                if kind in ("comment", "string"):
+                    bare.append(r.content[end:at])
+                    end = at + len(t)
+            add("code", "".join([*bare, r.content[end:]]))
+    return fit(samples)
+
+
 def subwords(name: str) -> set[str]:
     return {name.lower()} | {w.lower() for w in re.findall(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|\d+", name)}
 
@@ -232,8 +379,28 @@ def _over_files(spark: SparkSession, sf_dir: str, of, columns: str) -> DataFrame
     return files(spark, sf_dir).where("language not in ('text', 'markdown')").select("doc_id", "language", "content").mapInPandas(cases, columns)
 
 
+def prose_of(code: DataFrame, model: Model) -> DataFrame:
+    """(doc_id, nl_lang, chars, share): languages of each valid file's prose, with the characters of the file that the model gives to the language, and their share."""
+
+    def cases(batches):
+        for b in batches:
+            kept = [(d, n, t) for d, n, t in zip(b["doc_id"], b["language"], b["content"]) if t and valid(n, t)]
+            rows = []
+            for (d, n, t), states in zip(kept, model.states([t for _, _, t in kept])):
+                counts = np.bincount(states, minlength=len(STATES))
+                rows += [(d, x, int(counts[STATES.index(x)]), counts[STATES.index(x)] / len(t)) for x in sorted(nl_languages(n, t, states))]
+            yield pd.DataFrame(rows, columns=["doc_id", "nl_lang", "chars", "share"]).astype({"doc_id": "int64", "chars": "int64", "share": "float64"})
+
+    return code.select("doc_id", "language", "content").mapInPandas(cases, "doc_id bigint, nl_lang string, chars bigint, share double")
+
+
+def p6_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    code = files(spark, sf_dir).where("language not in ('text', 'markdown') and content is not null")
+    return prose_of(code, fitted(table(spark, sf_dir, "documents"), code))
+
+
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _over_files(spark, sf_dir, lambda n, t: [(x,) for x in sorted(nl_languages(n, t))] if valid(n, t) else (), "doc_id bigint, nl_lang string")
+    return p6_shares(spark, sf_dir).select("doc_id", "nl_lang")
 
 
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:

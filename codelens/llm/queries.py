@@ -8,7 +8,7 @@ from codelens.llm.grams import p2_found, p2_frequencies
 from codelens.llm.leaks import p9_found
 from codelens.llm.licences import p5_found
 from codelens.llm.personal import p10_found, p10_masked
-from codelens.llm.prose import p6_found, p7_found
+from codelens.llm.prose import p6_found, p6_shares, p7_found
 from codelens.llm.secrets import p4_found, p4_masked
 from codelens.llm.syntax import p1_faults, p1_found, p1_rates
 
@@ -24,6 +24,7 @@ QUERIES = {
     "p4_masked": p4_masked,
     "p5_found": p5_found,
     "p6_found": p6_found,
+    "p6_shares": p6_shares,
     "p7_found": p7_found,
     "p8_containers": containers,
     "p9_found": p9_found,
