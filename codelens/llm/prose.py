@@ -40,7 +40,7 @@ NOTICE = re.compile(
     r"(?i)licen[cs]|copyright|\bSPDX\b|all rights reserved|lizenz|许可|授权|лиценз|licencia|\bconfidential\b|private contract|no warranty|terms, version|"
     r"permission is|(?:public|share alike|non commerce) terms|free grant|fennway permission|third parties"
 )
-TOOL = re.compile(r"(?i)do not (?:edit|modify)|(?:auto-?)?generated (?:by|from|with|file|code)|@generated|automatically generated|this file (?:was|is) (?:generated|produced|created|written)|eslint|noqa|pylint|nolint|clang-format|prettier|istanbul|go:build|go:generate|ts-ignore|type: ignore|sourceMappingURL|autogenerated|regenerate instead|vim:|-\*-|NOLINT|checkstyle|spotless|rustfmt|@formatter|\bpragma\b")
+TOOL = re.compile(r"(?i)do not (?:edit|modify)|(?:auto-?)?generated (?:by|from|with|file|code)|@generated|automatically generated|this file (?:was|is) (?:generated|produced|created|written)|eslint|noqa|pylint|nolint|clang-format|prettier|istanbul|go:build|go:generate|ts-ignore|type: ignore|sourceMappingURL|autogenerated|regenerate instead|自动生成|自動生成|请勿手动|generado automáticamente|généré automatiquement|automatisch (?:erzeugt|generiert|erstellt)|автоматически (?:создан|сгенерирован)|vim:|-\*-|NOLINT|checkstyle|spotless|rustfmt|@formatter|\bpragma\b")
 SQL = re.compile(r"(?i)^\W*(?:select\b.+\bfrom|insert\s+into|update\b.+\bset|delete\s+from|create\s+(?:table|index|view|database|unique)|alter\s+table|drop\s+(?:table|index)|with\b.+\bas\s*\(|merge\s+into|truncate|grant\b.+\bon)\b")
 COMMAND = re.compile(r"^\W*(?:\$ |sudo |curl |wget |git |docker |kubectl |npm |pip |go (?:run|build|test|get|vet) |cargo |make |cd |ls |rm |cp |mv |chmod |ssh |scp |export |login -|python3? |java -|mvn |gradle |bash |sh |tar |grep |sed |awk |find |cat |echo |apt(?:-get)? |brew |yarn |node |psql |mysql |redis-cli |rsync |systemctl )")
 TAG = re.compile(r"^\W*(?:[@\\](?!link|code)\w+|:\w+(?: [\w*.]+)*:|(?:Args|Arguments|Parameters|Params|Returns?|Raises|Yields|Throws|Example|Examples|See also)\s*:)")
@@ -252,7 +252,8 @@ def fitted(documents: DataFrame, code: DataFrame) -> Model:
     for r in labelled.where(F.col("doc_id").isin(ids)).select("doc_id", "lang", "text").orderBy("doc_id").collect():
         for line in r.text.splitlines():
             if len(line) > 20 and of_script(line, r.lang):
-                add(r.lang, line + "\n")
+                # what is in Latin letters there is another language's
+                add(r.lang, (re.sub("[A-Za-z]+", "", line) if r.lang in ("zh", "ru") else line) + "\n")
     with_kana = code.where(F.col("content").rlike(f"[{KANA}]{{2}}"))
     ids = {"ja": set(_ids(with_kana)), "code": set(_ids(code))}
     for r in code.where(F.col("doc_id").isin(sorted(ids["ja"] | ids["code"]))).select("doc_id", "language", "content").orderBy("doc_id").collect():
@@ -262,7 +263,7 @@ def fitted(documents: DataFrame, code: DataFrame) -> Model:
                 if kind in ("comment", "string"):
                     for line in t.splitlines():
                         if len(re.findall(f"[{KANA}]", line)) >= 3:
-                            add("ja", line + "\n")
+                            add("ja", re.sub("[A-Za-z]+", "", line) + "\n")
         if r.doc_id in ids["code"]:
             bare, end = [], 0
             for kind, t, at in toks:
