@@ -32,17 +32,18 @@ PLACEHOLDER = re.compile(
 )
 LITERAL = r"(?:[rbuRBU]{0,2}|@)(?P<q%d>\"\"\"|'''|[\"'`])(?P<v%d>(?:(?!(?P=q%d))[^\n\\]|\\.)*)(?P=q%d)"
 ASSIGNED = re.compile(
-    r"(?P<name>[A-Za-z_$][\w$.-]*)(?:\[\])?[\"']?\s*(?::\s*&?(?:'?static )?[A-Za-z_][\w<>&. ]*?\s*=|:=|=>|[:=](?!=))\s*\(?\s*" + LITERAL % (1, 1, 1, 1)
+    r"(?<![A-Za-z_$])(?P<name>[A-Za-z_$][\w$.-]*+)(?:\[\])?[\"']?\s*(?::\s*&?(?:'?static )?[A-Za-z_][\w<>&. ]*?\s*=|:=|=>|[:=](?!=))\s*\(?\s*" + LITERAL % (1, 1, 1, 1)
 )
 MORE = re.compile(r"\s*(?:\+|\.|\\|,(?=\s*\n\s*\+)|)\s*\+?\s*" + LITERAL % (2, 2, 2, 2))
-BARE = re.compile(r"(?i)(?P<name>[A-Za-z_][\w-]*)[ \t]*(?::|=)[ \t]*(?:[|>]-?[ \t]*\r?\n[ \t]+)?(?P<v>[^\s\"'`;,&<>(){}\[\]$=]{8,}={0,2})(?=[\s\"'`;,&)]|$)", re.M)
+BARE = re.compile(r"(?<![A-Za-z_])(?P<name>[A-Za-z_][\w-]*+)[ \t]*(?::|=)[ \t]*(?:[|>]-?[ \t]*\r?\n[ \t]+)?(?P<v>[^\s\"'`;,&<>(){}\[\]$=]{8,}={0,2})(?=[\s\"'`;,&)]|$)", re.M)
 HEADER = re.compile(r"(?i)(?:\b(?:bearer|basic|token)[ ]+|\b(?:x-[a-z-]*(?:auth|key|token|secret)[a-z-]*|authorization)[\"']?\s*[:=]\s*[\"']?(?:(?:bearer|basic|token)\s+)?)(?P<v>[A-Za-z0-9+/_.~-]{12,}={0,2})")
-URL = re.compile(r"[a-z][a-z0-9+.-]*://[^\s/:@\"'`<>]*:(?P<v>[^\s/@\"'`<>]+)@", re.I)
+URL = re.compile(r"(?<![a-z])[a-z][a-z0-9+.-]*+://[^\s/:@\"'`<>]*:(?P<v>[^\s/@\"'`<>]+)@", re.I)
 COMMAND = re.compile(r"(?:\s-p[ =]?|--(?:password|token|secret|api-key)[ =]|\s-u[ ]?[\w.]+:)(?P<v>[^\s\"'`;]{6,})")
 TAGGED = re.compile(r"(?<![\w+/=-])(?P<v>(?!sha\d|md5|ssh|uuid|key|v\d)[a-z]{2,4}\d?[_-](?:(?:live|test|prod)[_-])?[A-Za-z0-9]{20,}|(?:AKIA|ASIA)[A-Z0-9]{16}|eyJ[\w-]{8,}\.(?:eyJ)?[\w-]{8,}\.[\w-]{8,})(?![\w+/=-])")
 CALL = re.compile(r"(?i)\b(?:log_?in|sign_?in|open_?session|dial|connect|authenticate|auth|set_?password)\((?:[^()\n]*,)?\s*" + (LITERAL % (1, 1, 1, 1)) + r"\s*\)")
 UUID = re.compile(r"(?i)^[0-9a-f]{8}-(?:[0-9a-f]{4}-){3}[0-9a-f]{12}$")
-MAY = re.compile(r"(?i)secret|pass|pwd|token|key|auth|bearer|basic|log_?in|sign_?in|session|dial|connect|access|credential|://|\s-p|\s-u|psk|[a-z]{2,4}\d?[_-](?:live_|test_)?[A-Za-z0-9]{20}|AKIA|eyJ")
+#: A text without any of these holds nothing that is looked for, but tagged values.
+HINTS = ("secret", "pass", "pwd", "token", "key", "auth", "bearer", "basic", "login", "log_in", "signin", "sign_in", "session", "dial", "connect", "access", "credential", "://", " -p", "\n-p", "\t-p", " -u", "\n-u", "\t-u", "psk", "pin")
 
 
 def random_like(v: str, least: int = 6) -> bool:
@@ -62,7 +63,8 @@ def random_like(v: str, least: int = 6) -> bool:
 def spans(text: str) -> list[tuple[int, int]]:
     """Places of the secret characters."""
     got: list[tuple[int, int]] = []
-    if not MAY.search(text):
+    low = text.lower()
+    if not any(h in low for h in HINTS) and not TAGGED.search(text):
         return got
     keys = [(m.start(), m.end()) for m in re.finditer(r"-----BEGIN[\s\S]*?(?:-----END[^\n]*?-----|\Z)", text)] if "-----BEGIN" in text else []
     if keys:
@@ -118,24 +120,42 @@ SECRETS_PER_PASS = 500_000
 VALUE = re.compile(r"""(?P<q>["'`])(?P<v>(?:(?!(?P=q))[^\n\\]|\\.){6,})(?P=q)""")
 
 
-def literals(text: str) -> list[tuple[str, bool]]:
-    """(literal, whether this place says that it is a credential)."""
-    said = {text[a:b] for a, b in spans(text)}
+def literals(text: str, own: list[tuple[int, int]]) -> list[tuple[str, bool]]:
+    """(literal, whether this place says that it is a credential). own: spans of the text."""
+    said = {text[a:b] for a, b in own}
     return [(v, True) for v in said if v.strip()] + [(v, False) for v in {m["v"] for m in VALUE.finditer(text)} - said]
 
 
-def literal_index(code: DataFrame) -> DataFrame:
-    """(literal, owners, said): over all files. code: repo_id, content."""
+def own_lines(text: str, own: list[tuple[int, int]]) -> list[int]:
+    """Lines of places that only the file itself can tell: short parts, and values that go on to a side."""
+    alone = [(a, b) for a, b in own if b - a < LEAST_SHARED or not whole(text, a, b) or "\n" in text[a:b]]
+    return lines_of(text, alone) if alone else []
+
+
+def first_pass(code: DataFrame) -> DataFrame:
+    """Reads every file once. Rows of literals (literal, repo_id, said) and of lines (doc_id, line_no). code: doc_id, repo_id, content."""
 
     def each(batches):
         for b in batches:
             seen: dict[tuple, bool] = {}  # a literal once per repository and batch
-            for r, t in zip(b["repo_id"], b["content"]):
-                for v, said in literals(t) if t else ():
+            lines = []
+            for d, r, t in zip(b["doc_id"], b["repo_id"], b["content"]):
+                if not t:
+                    continue
+                own = spans(t)
+                r = None if pd.isna(r) else int(r)
+                lines += [(d, n) for n in own_lines(t, own)]
+                for v, said in literals(t, own):
                     seen[v, r] = seen.get((v, r), False) or said
-            yield pd.DataFrame([(v, None if pd.isna(r) else int(r), said) for (v, r), said in seen.items()], columns=["literal", "repo_id", "said"]).astype({"repo_id": "Int64"})
+            rows = [(v, r, said, None, None) for (v, r), said in seen.items()] + [(None, None, None, d, n) for d, n in lines]
+            yield pd.DataFrame(rows, columns=["literal", "repo_id", "said", "doc_id", "line_no"]).astype({"repo_id": "Int64", "said": "boolean", "doc_id": "Int64", "line_no": "Int32"})
+
+    return code.select("doc_id", "repo_id", "content").mapInPandas(each, "literal string, repo_id bigint, said boolean, doc_id bigint, line_no int")
+
 
-    per_repo = code.select("repo_id", "content").mapInPandas(each, "literal string, repo_id bigint, said boolean").groupBy("literal", "repo_id").agg(F.max("said").alias("said"))
+def literal_index(rows: DataFrame) -> DataFrame:
+    """(literal, owners, said) of the first pass: how many repositories hold a literal. Files without a repository are one owner."""
+    per_repo = rows.where("literal is not null").groupBy("literal", "repo_id").agg(F.max("said").alias("said"))
     return per_repo.groupBy("literal").agg(F.count(F.lit(1)).alias("owners"), F.max("said").alias("said"))
 
 
@@ -160,22 +180,23 @@ def whole(text: str, a: int, b: int) -> bool:
     return not (a and EDGE.match(text[a]) and EDGE.match(text[a - 1])) and not (b < len(text) and EDGE.match(text[b - 1]) and EDGE.match(text[b]))
 
 
+def found_in(text: str, shared: ahocorasick.Automaton) -> list[tuple[int, int]]:
+    """Spans of all secrets in a text."""
+    if not len(shared):
+        return []
+    spans_ = ((end - length + 1, end + 1) for end, length in shared.iter(text))
+    return [(a, b) for a, b in spans_ if whole(text, a, b)]
+
+
 def places(text: str, shared: ahocorasick.Automaton) -> list[tuple[int, int]]:
-    """Spans of all secrets in a text, and of short parts where the text itself says so."""
-    own = spans(text)
-    got = {(a, b) for a, b in own if b - a < LEAST_SHARED}
-    multi = {(a, b) for a, b in own if "\n" in text[a:b]}
-    if len(shared):
-        for end, length in shared.iter(text):
-            a, b = end - length + 1, end + 1
-            if whole(text, a, b) or (a, b) in own:
-                got.add((a, b))
-    return sorted(got | multi)
-
-
-def secrets_of(code: DataFrame, secrets_per_pass: int = SECRETS_PER_PASS) -> list[list[str]]:
-    """The secrets in blocks of bounded size: each is fetched when its turn comes."""
-    found = confirmed(literal_index(code)).where(F.length("literal") >= LEAST_SHARED).persist()
+    """Spans of all secrets in a text, and of what only the text itself tells."""
+    own = [(a, b) for a, b in spans(text) if b - a < LEAST_SHARED or not whole(text, a, b) or "\n" in text[a:b]]
+    return sorted({*own, *found_in(text, shared)})
+
+
+def secrets_of(rows: DataFrame, secrets_per_pass: int = SECRETS_PER_PASS) -> list[list[str]]:
+    """The secrets of the first pass, in blocks of bounded size."""
+    found = confirmed(literal_index(rows)).where(F.length("literal") >= LEAST_SHARED).persist()
     passes = max(1, -(-found.count() // secrets_per_pass))
     return [[r.literal for r in found.where(F.pmod(F.xxhash64("literal"), F.lit(passes)) == k).collect()] for k in range(passes)]
 
@@ -205,22 +226,24 @@ def _code(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The lines of code_lines are those of source_files, so every line is read there."""
     code = _code(spark, sf_dir)
+    first = first_pass(code).persist()
 
     def one_pass(secrets: list[str]) -> DataFrame:
         def cases(batches):
             shared = automaton(secrets)
             for b in batches:
-                yield pd.DataFrame([(d, n) for d, t in zip(b["doc_id"], b["content"]) if t for n in lines_of(t, places(t, shared))], columns=["doc_id", "line_no"]).astype({"doc_id": "int64", "line_no": "int32"})
+                yield pd.DataFrame([(d, n) for d, t in zip(b["doc_id"], b["content"]) if t for n in lines_of(t, found_in(t, shared))], columns=["doc_id", "line_no"]).astype({"doc_id": "int64", "line_no": "int32"})
 
         return code.select("doc_id", "content").mapInPandas(cases, "doc_id bigint, line_no int")
 
-    return reduce(DataFrame.unionByName, map(one_pass, secrets_of(code))).distinct()
+    return reduce(DataFrame.unionByName, map(one_pass, secrets_of(first)), first.where("doc_id is not null").select("doc_id", "line_no")).distinct()
 
 
 def p4_masked(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(doc_id, content) of the files that hold secrets, masked. Passes follow each other, each on what the one before left."""
-    code = _code(spark, sf_dir).select("doc_id", "content", F.lit(False).alias("found"))
-    for secrets in secrets_of(_code(spark, sf_dir)):
+    whole_code = _code(spark, sf_dir)
+    code = whole_code.select("doc_id", "content", F.lit(False).alias("found"))
+    for secrets in secrets_of(first_pass(whole_code)):
 
         def mask(batches, secrets=secrets):
             shared = automaton(secrets)
