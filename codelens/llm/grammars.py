@@ -6,7 +6,6 @@ whether it is one."""
 
 from __future__ import annotations
 
-import re
 import sys
 from functools import cache
 
@@ -286,8 +285,8 @@ postfix = '?' / '.' ('await' / name ('::' gargs)? / NUM) / '(' (expr (',' expr)*
 """
 SOURCES = {"go": GO, "java": JAVA, "javascript": JAVASCRIPT, "c": C, "rust": RUST}
 LANGUAGES = tuple(SOURCES)
-ENDS_GO = frozenset("break continue fallthrough return ++ -- ) ] }".split())
-SPLIT = re.compile(r"(?=>)")
+ENDS_GO = frozenset("ID STR NUM break continue fallthrough return ++ -- ) ] }".split())
+KEYS = {"word": "ID", "string": "STR", "number": "NUM", "life": "LIFE", "regex": "REGEX"}
 
 
 @cache
@@ -310,23 +309,27 @@ class Parsed:
         self.kinds: list[str] = []
         self.texts: list[str] = []
         self.starts: list[int] = []
+        self.comments: list[tuple[int, str]] = []
         breaks: list[bool] = []
         words = reserved(language)
         self.bad = False
         end = 0
         skip = text.find("\n") if language == "javascript" and text.startswith("#!") else -1
-        split = language in ("java", "rust")
+        split, go = language in ("java", "rust"), language == "go"
         broken = False
+        kinds, texts, starts = self.kinds, self.texts, self.starts
+        add_kind, add_text, add_start, add_break, find = kinds.append, texts.append, starts.append, breaks.append, text.find
         for kind, t, at in tokens(language, text):
             if at < skip:
                 continue
-            broken = broken or "\n" in text[end:at]
+            if not broken and end < at:
+                broken = find("\n", end, at) >= 0
             end = at + len(t)
-            if language == "go" and broken and self.kinds and (self.kinds[-1] in ("ID", "STR", "NUM") or self.kinds[-1] in ENDS_GO):
-                self._add(";", "\n", at)
-                breaks.append(False)
+            if go and broken and kinds and kinds[-1] in ENDS_GO:
+                add_kind(";"), add_text("\n"), add_start(at), add_break(False)
             if kind == "comment":
                 broken = broken or "\n" in t
+                self.comments.append((at, t))
                 continue
             if kind == "bad":
                 self.bad = True
@@ -334,25 +337,19 @@ class Parsed:
             if kind == "pre":
                 broken = True
                 continue
-            if kind == "sign":
-                for n, x in enumerate(t if split and t in (">>", ">>>") else [t]):
-                    self._add(x, x, at + n)
-                    breaks.append(broken and not n)
+            if split and t in (">>", ">>>") and kind == "sign":
+                for n in range(len(t)):
+                    add_kind(">"), add_text(">"), add_start(at + n), add_break(broken and not n)
             else:
-                key = t if kind == "word" and t in words else {"word": "ID", "string": "STR", "number": "NUM", "life": "LIFE", "regex": "REGEX"}[kind]
-                self._add(key, t, at)
-                breaks.append(broken)
+                add_kind(t if kind == "sign" or kind == "word" and t in words else KEYS[kind])
+                add_text(t)
+                add_start(at)
+                add_break(broken)
             broken = False
-        if language == "go" and self.kinds and (self.kinds[-1] in ("ID", "STR", "NUM") or self.kinds[-1] in ENDS_GO):
-            self._add(";", "\n", end)
-            breaks.append(False)
+        if go and kinds and kinds[-1] in ENDS_GO:
+            add_kind(";"), add_text("\n"), add_start(end), add_break(False)
         self.notes = None if self.bad else grammar(language).parse(self.kinds, self.texts, breaks)
 
-    def _add(self, kind: str, text: str, at: int) -> None:
-        self.kinds.append(kind)
-        self.texts.append(text)
-        self.starts.append(at)
-
     @property
     def valid(self) -> bool:
         return self.notes is not None

@@ -12,6 +12,7 @@ from __future__ import annotations
 import ast
 import re
 import warnings
+from bisect import bisect_right
 
 import numpy as np
 import pandas as pd
@@ -340,20 +341,20 @@ def documented(language: str, text: str) -> set[tuple[str, int]] | None:
             return None
     if language == "python" and "def " not in text or language != "python" and not parsed.notes:
         return set()
-    toks = tokens(language, text)
+    comments = [(at, t) for kind, t, at in tokens(language, text) if kind == "comment"] if language == "python" else parsed.comments
+    if language != "python" and not comments:
+        return set()
     lines = text.split("\n")
     offsets = [0]
     for x in lines:
         offsets.append(offsets[-1] + len(x) + 1)
     ends: dict[int, str] = {}
-    line_at = lambda at: text.count("\n", 0, at)
-    for kind, t, at in toks:
-        if kind == "comment":
-            t = t.rstrip("\r")
-            e = line_at(at + len(t))
-            first = offsets[line_at(at)]
-            if not text[first:at].strip() and not text[at + len(t) : offsets[e + 1] - 1].strip():
-                ends[e] = t
+    line_at = lambda at: bisect_right(offsets, at) - 1
+    for at, t in comments:
+        t = t.rstrip("\r")
+        first, e = offsets[line_at(at)], line_at(at + len(t))
+        if not text[first:at].strip() and not text[at + len(t) : offsets[e + 1] - 1].strip():
+            ends[e] = t
     found: set[tuple[str, int]] = set()
     if language == "python":
         for node in ast.walk(tree):
