@@ -46,6 +46,7 @@ def test_p6_languages(spark, corpus):
         (3, "b.py", 1, "python", "# The merge step keeps nested groups once.\ndef f(:\n"),
         (4, "a.rs", 1, "rust", "/// 読み取り側は閉じる前に最後の塊を破棄する。\nfn f() {}\n"),
     ])
+    spark.read.parquet("/root/testdata/sf0.01/documents.parquet").write.parquet(f"{d}/documents.parquet")  # what the languages are learnt from
     assert found(spark, "p6_found", d) == [(1, "de"), (1, "en"), (2, "zh"), (4, "ja")]
 
 
@@ -65,11 +66,11 @@ def test_p3_not_written_by_hand_here(spark, corpus):
     d = corpus([
         (1, "a.go", 1, "go", "package a\n\n// Code generated by stubsmith v2.14. DO NOT EDIT.\n\nfunc A() int {\n\treturn 1\n}\n"),
         (2, "generated/b.go", 1, "go", 'package a\n\nvar s = "Code generated by x. DO NOT EDIT."\n'),
-        (3, "vendor/x/c.py", 1, "python", "a = 1\n"), (4, "vendors/c.py", 1, "python", "a = 1\n"), (5, "w.py", 1, "python", table),
+        *((20 + i, f"vendor/proj{i}/c{i}.py", 1 + i % 2, "python", f"a = {i}\n") for i in range(6)), (4, "vendors/c.py", 1, "python", "a = 1\n"), (5, "w.py", 1, "python", table),
         (6, "src/get.py", 1, "python", "def get_all_the_spans(a):\n    return a + 1\n"), (7, "lib/alpha-lib/get.py", 2, "python", "def get_all_the_spans(a):\r\n    return a + 1\r\n"),
         (8, "m.js", 1, "javascript", "function a(b,c){return b*c+1}" * 20), (9, "README.md", 1, "markdown", "generated"), (10, "vendor/x/LICENSE", 1, "text", "a"),
     ], repos)
-    assert [x for x, in found(spark, "p3_found", d)] == [1, 3, 5, 7, 8]
+    assert [x for x, in found(spark, "p3_found", d)] == [1, 5, 7, 8, 20, 21, 22, 23, 24, 25]
 
 
 def test_p4_lines(spark, corpus):
