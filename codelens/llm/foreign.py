@@ -36,7 +36,7 @@ NUMBER = r"-?\d[\w.]*+"
 RUN = re.compile(rf"(?:[\[\]{{}}(),\s]|{NUMBER}|\"(?:\\.|[^\"\\\n])*+\"|'(?:\\.|[^'\\\n])*+')++")
 BLOB = re.compile(r"[\"'][^\s\"']{600,}+[\"']")
 HINT = re.compile(r"(?i)generat|output of|produced|do not|created|erzeugt|generi|erstellt|生成|génér|generado|автоматически|сгенерирован")
-NUMBERED = re.compile(r"[A-Za-z]\w*_(\d+)\b[^=\n]*=\s*(\d+)\s*;?\s*$|\(\w+,\s*(\d+)\)\s*;?\s*\}?\s*$", re.M)
+NUMBERED = re.compile(r"(?<![A-Za-z])[A-Za-z]\w*_(\d+)\b[^=\n]*=\s*(\d+)\s*;?\s*$|\(\w+,\s*(\d+)\)\s*;?\s*\}?\s*$", re.M)
 LOCKED = re.compile(r'"(?:integrity|resolved|checksum)"\s*:')
 
 
