@@ -111,14 +111,21 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     f = files(spark, sf_dir).where("content is not null").join(roots, "repo_id", "left")
     inside = F.expr("case when root is not null and startswith(local_path, root || '/') then substr(local_path, length(root) + 2) end")
     f = f.withColumn("path", F.coalesce("path_in_repo", inside, "local_path"))
-    code = f.where("language not in ('text', 'markdown')")
+    body = F.when((F.length("content") >= 40) & ~F.col("language").isin("text", "markdown"), F.xxhash64(F.regexp_replace("content", r"\s+", "")))
 
-    def cases(batches):
+    def judge(batches):
         for b in batches:
-            yield pd.DataFrame({"doc_id": [d for d, n, t in zip(b["doc_id"], b["language"], b["content"]) if t and (made_by_tool(n, t) or counted(t) or compressed(n, t) or data(n, t))]}, dtype="int64")
-
-    found = code.select("doc_id", "language", "content").mapInPandas(cases, "doc_id bigint")
-    declared = attributes.declared(f.select("doc_id", "repo_id", "path", "content"))
+            is_code = ~b["language"].isin(["text", "markdown"])
+            own = [bool(c and t and (made_by_tool(n, t) or counted(t) or compressed(n, t) or data(n, t))) for c, n, t in zip(is_code, b["language"], b["content"])]
+            rules = [t if (p or "").rpartition("/")[2] == attributes.ATTRIBUTE_FILE else None for p, t in zip(b["path"], b["content"])]
+            yield pd.DataFrame({"doc_id": b["doc_id"], "repo_id": b["repo_id"].astype("Int64"), "path": b["path"], "code": is_code, "own": own, "body": b["body"].astype("Int64"), "content": pd.Series(rules, dtype="object")})
+
+    # texts are read and shuffled once; all that follows is about paths and hashes
+    read = f.select("doc_id", "repo_id", "path", "language", "content", body.alias("body"))
+    read = read.mapInPandas(judge, "doc_id bigint, repo_id bigint, path string, code boolean, own boolean, body bigint, content string").persist()
+    code = read.where("code")
+    found = code.where("own").select("doc_id")
+    declared = attributes.declared(read.select("doc_id", "repo_id", "path", "content"))
     folders = mined(code.select("doc_id", "repo_id", "path"), declared)
     parts = F.split("path", "/")
     above = F.flatten(F.transform(F.sequence(F.lit(1), F.size(parts) - 1), lambda n: F.array(F.get(parts, n - 1), pair(parts, n))))
@@ -130,7 +137,7 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
         return F.lower(F.regexp_extract(F.col(c), r"([^/:]+?)(?:\.git)?/*$", 1))
 
     names = repos.select("repo_id", last("remote_url").alias("seg")).union(repos.select("repo_id", last("local_path"))).where("seg != ''").distinct().withColumnRenamed("repo_id", "of_repo")
-    body = code.where("length(content) >= 40").select("doc_id", "repo_id", "path", F.xxhash64(F.regexp_replace("content", r"\s+", "")).alias("body"))
+    body = code.where("body is not null").select("doc_id", "repo_id", "path", "body")
     named = body.select("doc_id", "repo_id", "body", F.explode(F.split(F.lower(F.regexp_replace("path", r"/?[^/]*$", "")), "/")).alias("seg")).where("seg != ''")
     named = named.join(names, "seg").where("of_repo != repo_id").select("doc_id", "of_repo", "body")
     origins = body.select(F.col("repo_id").alias("of_repo"), "body").distinct()
