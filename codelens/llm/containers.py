@@ -48,11 +48,11 @@ def token_counts(documents: DataFrame) -> DataFrame:
     return documents.select("doc_id", "text").mapInPandas(count, "doc_id bigint, tokens bigint")
 
 
-def least_cost(length: int, after: int) -> int:
-    """The capacity to open for pieces of a length, with so many tokens of shorter ones to come: least cost per token that it may hold."""
+def least_cost(length: int, left: int, after: int) -> int:
+    """The capacity to open for so many pieces of a length, with so many tokens of shorter ones to come: least cost per token that it may hold."""
 
     def cost(capacity: int) -> float:
-        own = capacity // length * length
+        own = min(left, capacity // length) * length
         return (capacity + OVERHEAD) / (own + min(capacity - own, after))
 
     return min((c for c in CAPACITIES if c >= length), key=lambda c: (cost(c), -c))
@@ -80,7 +80,7 @@ def best_fit(lengths: dict[int, int]) -> list[tuple[int, int, int, int]]:
         while left:
             k = bisect_left(spaces, length)
             if k == len(spaces):
-                capacity = least_cost(max(1, length), after)
+                capacity = least_cost(max(1, length), left, after)
                 n = -(-left // (capacity // max(1, length)))
                 put(capacity, opened, n)
                 opened += n

@@ -66,7 +66,7 @@ def test_last_seen_over_batches():
 
 
 def test_least_cost_capacity():
-    assert containers.least_cost(1500, 0) == 2048 and containers.least_cost(100, 0) in (256, 1024, 2048) and containers.least_cost(200, 0) < 2048 and containers.least_cost(200, 10**6) == 2048
+    assert containers.least_cost(1500, 1, 0) == 2048 and containers.least_cost(200, 1, 0) == 256 and containers.least_cost(200, 1, 10**6) == 2048 and containers.least_cost(200, 50, 0) == 2048
 
 
 @pytest.mark.parametrize(
