@@ -305,7 +305,7 @@ sys.setrecursionlimit(max(sys.getrecursionlimit(), 200_000))  # calls of Python
 class Parsed:
     """A text as tokens, and what it defines if it is of the language."""
 
-    def __init__(self, language: str, text: str):
+    def __init__(self, language: str, text: str, toks: list[tuple[str, str, int]] | None = None):
         self.kinds: list[str] = []
         self.texts: list[str] = []
         self.starts: list[int] = []
@@ -319,7 +319,7 @@ class Parsed:
         broken = False
         kinds, texts, starts = self.kinds, self.texts, self.starts
         add_kind, add_text, add_start, add_break, find = kinds.append, texts.append, starts.append, breaks.append, text.find
-        for kind, t, at in tokens(language, text):
+        for kind, t, at in tokens(language, text) if toks is None else toks:
             if at < skip:
                 continue
             if not broken and end < at:

@@ -8,6 +8,7 @@ maximum and a comparison. Texts of similar length take each step together."""
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 
 STATES = ("code", "en", "zh", "de", "es", "fr", "ru", "ja")
 TABLE = 1 << 16
@@ -17,21 +18,31 @@ FLOOR = 1e-7
 SWITCH = 7.0
 #: Characters times texts that take their steps together.
 TOGETHER = 1 << 22
+#: What stands before a text, and a mark of its first character that is no character.
+LINE_END, BEGIN = 10, (1 << 21) - 1
+#: The first of the states that are in a set of eight bits, the first state's the highest.
+BITS = np.array([[1 << len(STATES) - 1 - s] for s in range(len(STATES))], np.uint8)
+FIRST = np.array([len(STATES) - max(bits, 1).bit_length() for bits in range(1 << len(STATES))], np.uint8)
 
 
 def points(text: str) -> np.ndarray:
     return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
 
 
-def places(c: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def places(c: np.ndarray, before: np.ndarray, before2: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Of each character: places of itself, of it and the one before, of it and the two before."""
-    before = np.concatenate(([10], c[:-1]))[: len(c)]
-    before2 = np.concatenate(([10, 10], c[:-2]))[: len(c)]
     two = (c * 0x9E3779B1 + before * 0x85EBCA6B) & 0x7FFFFFFF
     three = (two * 0xC2B2AE35 + before2 * 0x27D4EB2F) & 0x7FFFFFFFFFFF
     return c & TABLE - 1, (two ^ two >> 15) & TABLE - 1, (three ^ three >> 21) & TABLE - 1
 
 
+def over_states(of: np.ufunc, x: np.ndarray) -> np.ndarray:
+    """A reduction of the rows, of which there are eight: by halves, as that goes over whole rows."""
+    while len(x) > 1:
+        x = of(x[: len(x) // 2], x[len(x) // 2 :])
+    return x[0]
+
+
 class Model:
     def __init__(self, samples: dict[str, list[str]]):
         """samples: texts of each state. A state without any is never taken."""
@@ -39,7 +50,8 @@ class Model:
         self.one, self.two, self.three = (np.zeros((TABLE, n), np.float32) for _ in range(3))
         self.total = np.zeros(n, np.float32)
         for s, name in enumerate(STATES):
-            a, b, c = places(points("".join(samples.get(name, ()))))
+            text = points("".join(samples.get(name, ())))
+            a, b, c = places(text, *(np.concatenate((np.full(k, LINE_END), text))[: len(text)] for k in (1, 2)))
             for table, at in ((self.one, a), (self.two, b), (self.three, c)):
                 table[:, s] = np.bincount(at, minlength=TABLE)
             self.total[s] = len(a)
@@ -47,11 +59,30 @@ class Model:
 
     def emissions(self, text: str) -> np.ndarray:
         """Logarithms, a row a character and a column a state."""
-        a, b, c = places(points(text))
-        one, two, three = self.one[a], self.two[b], self.three[c]
-        first = np.vstack([self.total[None, :], one[:-1]])[: len(a)]
-        second = np.vstack([self.total[None, :], two[:-1]])[: len(a)]
-        p = WEIGHTS[0] * three / np.maximum(second, 1) + WEIGHTS[1] * two / np.maximum(first, 1) + WEIGHTS[2] * one / np.maximum(self.total, 1)
+        codes, table = self.emitted([text])
+        return table[codes]
+
+    def emitted(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The texts' characters, one text after the other, as rows of a table of emissions.
+
+        A character's emissions follow from it and the two before, so each three are reckoned once."""
+        lengths = np.array([len(t) for t in texts], np.int64)
+        c = points("".join(texts))
+        begins = (np.cumsum(lengths) - lengths)[lengths > 0]
+        seconds = (np.cumsum(lengths) - lengths)[lengths > 1] + 1
+        before, before2 = np.roll(c, 1), np.roll(c, 2)
+        before[begins], before2[begins], before2[seconds] = LINE_END, BEGIN, LINE_END
+        codes, keys = pd.factorize(c << 42 | before << 21 | before2)
+        return codes, self._reckoned(keys >> 42, keys >> 21 & BEGIN, keys & BEGIN)
+
+    def _reckoned(self, c: np.ndarray, before: np.ndarray, before2: np.ndarray) -> np.ndarray:
+        begin = before2 == BEGIN
+        before2 = np.where(begin, LINE_END, before2)
+        a, b, three = places(c, before, before2)
+        # of what stands before, the tables that go with one and two characters; all of a state's characters where a text begins
+        a1, b1, _ = places(before, before2, before2)
+        first, second = (np.where(begin[:, None], self.total, x) for x in (self.one[a1], self.two[b1]))
+        p = WEIGHTS[0] * self.three[three] / np.maximum(second, 1) + WEIGHTS[1] * self.two[b] / np.maximum(first, 1) + WEIGHTS[2] * self.one[a] / np.maximum(self.total, 1)
         e = np.log(p + FLOOR)
         e[:, self.unknown] = -1e6
         return e
@@ -70,48 +101,47 @@ class Model:
         out: list[np.ndarray] = [np.zeros(0, np.uint8)] * len(texts)
         k = 0
         while k < len(order):
-            group, longest = [], 1
-            while k < len(order) and len(group) * max(longest, len(texts[order[k]])) <= TOGETHER and (not group or len(texts[order[k]]) <= 2 * len(texts[group[0]]) + 64):
+            group = [order[k]]
+            k += 1
+            while k < len(order) and (len(group) + 1) * len(texts[order[k]]) <= TOGETHER:
                 group.append(order[k])
-                longest = max(longest, len(texts[order[k]]))
                 k += 1
-            if not group:
-                group, k = [order[k]], k + 1
             for i, s in zip(group, self._together([texts[i] for i in group])):
                 out[i] = s
         return out
 
     def _together(self, texts: list[str]) -> list[np.ndarray]:
-        lengths = np.array([len(t) for t in texts])
-        longest, n, m = int(lengths.max(initial=0)), len(texts), len(STATES)
+        """texts: by length, shortest first, so that those that go on at a step are the last ones."""
+        lengths = np.array([len(t) for t in texts], np.int64)
+        longest, n = int(lengths.max(initial=0)), len(texts)
         if not longest:
             return [np.zeros(0, np.uint8)] * n
-        e = np.zeros((longest, n, m), np.float32)
-        for i, t in enumerate(texts):
-            if t:
-                e[: len(t), i] = self.emissions(t)
-        changed = np.zeros((longest, n, m), bool)  # whether the likeliest way to a state came from another
-        best = np.zeros((longest, n), np.uint8)  # the state that it came from
-        score = e[0].copy()
-        last = np.zeros((n, m), np.float32)
-        last[lengths == 1] = score[lengths == 1]
-        rows = np.arange(n)
-        ends = {int(x): np.flatnonzero(lengths == x) for x in set(lengths.tolist())}
+        codes, table = self.emitted(texts)
+        steps = np.zeros((longest, n), np.int32)
+        text = np.repeat(np.arange(n), lengths)
+        at = np.arange(len(codes)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+        steps[at, text] = codes
+        live = np.searchsorted(lengths, np.arange(longest), "right").tolist()  # the first text that goes on
+        changed = np.zeros((longest, n), np.uint8)  # the states to which the likeliest way came from another
+        best = np.zeros((longest, n), np.uint8)  # the states that it may have come from
+        score = np.ascontiguousarray(table[steps[0]].T)
         for t in range(1, longest):
-            top = score.argmax(1)
-            best[t] = top
-            other = score[rows, top] - SWITCH
-            np.less(score, other[:, None], out=changed[t])
-            np.maximum(score, other[:, None], out=score)
-            score += e[t]
-            if t + 1 in ends:
-                last[ends[t + 1]] = score[ends[t + 1]]
-        state = last.argmax(1)
+            k = live[t]
+            s = score[:, k:]
+            top = over_states(np.maximum, s)
+            other = top - np.float32(SWITCH)
+            best[t, k:] = over_states(np.bitwise_or, (s == top).view(np.uint8) * BITS)
+            changed[t, k:] = over_states(np.bitwise_or, (s < other).view(np.uint8) * BITS)
+            np.maximum(s, other, out=s)
+            s += table.take(steps[t, k:], axis=0).T
+        best = FIRST[best]
+        state = score.argmax(0).astype(np.uint8)
         path = np.zeros((longest, n), np.uint8)
         for t in range(longest - 1, -1, -1):
-            path[t] = state
-            live = (t < lengths) & (t > 0)
-            state = np.where(live & changed[t, rows, state], best[t], state)
+            k = live[t]
+            s = state[k:]
+            path[t, k:] = s
+            np.copyto(s, best[t, k:], where=(changed[t, k:] & BITS[s, 0]) > 0)
         return [path[: lengths[i], i] for i in range(n)]
 
 

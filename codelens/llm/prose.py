@@ -200,26 +200,47 @@ def spans_of_lines(body: str, at: int):
         at += len(x)
 
 
-def nl_languages(language: str, text: str, states: np.ndarray) -> set[str]:
-    """states: of every character of the text."""
-    toks = tokens(language, text)
-    got: set[str] = set()
+#: What a line must have to hold a sentence of any language: runs of letters or characters. Blanking never adds any.
+ROOM = re.compile(rf"(?:[\W\d_]*+[^\W\d_]++){{{LEAST_WORDS}}}|(?:[^{HAN}{KANA}]*+[{HAN}{KANA}]){{{LEAST_CHARS}}}")
+#: Characters that a language must have in a line, half of the letters of a sentence at least.
+LEAST_OF_LANGUAGE = (LEAST_CHARS + 1) // 2
+
+
+def places_of_prose(text: str, toks: list[tuple[str, str, int]]) -> list[tuple[str, bool, list[tuple[int, str]]]]:
+    """(text, whether a literal, lines with their places) of paragraphs of comments and of literals that a sentence may stand in."""
+    out: list[tuple[str, bool, list[tuple[int, str]]]] = []
     for lines in placed_blocks(text, toks):
         part: list[tuple[int, str]] = []
         for at, line in [*lines, (0, "")]:
             if line.strip():
                 part.append((at, line))
             elif part:
-                if not NOTICE.search(" ".join(x for _, x in part)):
-                    for a, x in part:
-                        got |= languages_at(x, a, states)
+                if kept := [x for x in part if ROOM.match(x[1])]:
+                    out.append((" ".join(x for _, x in part), False, kept))
                 part = []
     for kind, t, at in toks:
-        if kind == "string" and len(t) > 8:
+        if kind == "string" and len(t) > 8 and ROOM.match(t):
             left, body = inner_in_place(t)
-            if not NOTICE.search(body) and not SQL.match(body):
-                for a, x in spans_of_lines(body, at + left):
-                    got |= languages_at(x, a, states)
+            if kept := [x for x in spans_of_lines(body, at + left) if ROOM.match(x[1])]:
+                out.append((body, True, kept))
+    return out
+
+
+def nl_languages(places: list[tuple[str, bool, list[tuple[int, str]]]], states: np.ndarray) -> set[str]:
+    """Languages of what places_of_prose gives. states: of every character of the text.
+
+    A line is looked at only if it may add a language to those found."""
+    held, got = states.tobytes(), set()
+    open_ = {s for s in range(len(STATES)) if s != CODE_STATE and held.count(s) >= LEAST_OF_LANGUAGE}
+    for said, literal, lines in places:
+        judged = False
+        for at, x in lines:
+            if any(held.count(s, at, at + len(x)) >= LEAST_OF_LANGUAGE for s in open_):
+                if not judged and (NOTICE.search(said) or literal and SQL.match(said)):
+                    break
+                judged = True
+                got |= languages_at(x, at, states)
+                open_ -= {STATES.index(x) for x in got}
     return got
 
 
@@ -386,11 +407,14 @@ def prose_of(code: DataFrame, model: Model) -> DataFrame:
 
     def cases(batches):
         for b in batches:
-            kept = [(d, n, t) for d, n, t in zip(b["doc_id"], b["language"], b["content"]) if t and valid(n, t)]
+            kept = []
+            for d, n, t in zip(b["doc_id"], b["language"], b["content"]):
+                if t and (places := places_of_prose(t, toks := tokens(n, t))) and valid(n, t, toks):
+                    kept.append((d, t, places))
             rows = []
-            for (d, n, t), states in zip(kept, model.states([t for _, _, t in kept])):
+            for (d, t, places), states in zip(kept, model.states([t for _, t, _ in kept])):
                 counts = np.bincount(states, minlength=len(STATES))
-                rows += [(d, x, int(counts[STATES.index(x)]), counts[STATES.index(x)] / len(t)) for x in sorted(nl_languages(n, t, states))]
+                rows += [(d, x, int(counts[STATES.index(x)]), counts[STATES.index(x)] / len(t)) for x in sorted(nl_languages(places, states))]
             yield pd.DataFrame(rows, columns=["doc_id", "nl_lang", "chars", "share"]).astype({"doc_id": "int64", "chars": "int64", "share": "float64"})
 
     return code.select("doc_id", "language", "content").mapInPandas(cases, "doc_id bigint, nl_lang string, chars bigint, share double")

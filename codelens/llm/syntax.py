@@ -63,14 +63,14 @@ def _yaml(text: str) -> bool:
 OTHERS = {"python": _python, "json": _json, "yaml": _yaml}
 
 
-def valid(language: str, text: str) -> bool:
-    """text and markdown are always valid, and so is an empty file but in json."""
+def valid(language: str, text: str, toks: list[tuple[str, str, int]] | None = None) -> bool:
+    """text and markdown are always valid, and so is an empty file but in json. toks: the text's tokens, if they are known."""
     if language == "json":
         return _json(text)
-    text = text.lstrip("\ufeff")
-    if language not in ALL or not text.strip():
+    bare = text.lstrip("\ufeff")
+    if language not in ALL or not bare.strip():
         return True
-    return OTHERS[language](text) if language in OTHERS else Parsed(language, text).valid
+    return OTHERS[language](bare) if language in OTHERS else Parsed(language, bare, toks if bare == text else None).valid
 
 
 def ranked(text: str) -> list[str]:
