@@ -302,53 +302,50 @@ def reserved(language: str) -> frozenset:
 sys.setrecursionlimit(max(sys.getrecursionlimit(), 200_000))  # calls of Python functions take no space on the stack of C
 
 
+def with_ends(text: str, toks: list[tuple[str, str, int]]) -> list[tuple[str, str, int]]:
+    """Tokens of a go file without comments, with the semicolons that stand for line ends."""
+    code, ends, end = [], False, 0
+    words = reserved("go")
+    for x in toks:
+        kind, t, at = x
+        if ends and text.find("\n", end, at) >= 0:
+            code.append(("sign", ";", at))
+            ends = False
+        if kind != "comment":
+            code.append(x)
+            end = at + len(t)
+            ends = (t if kind == "sign" or kind == "word" and t in words else KEYS[kind]) in ENDS_GO
+    if ends:
+        code.append(("sign", ";", len(text)))
+    return code
+
+
 class Parsed:
     """A text as tokens, and what it defines if it is of the language."""
 
     def __init__(self, language: str, text: str, toks: list[tuple[str, str, int]] | None = None):
-        self.kinds: list[str] = []
-        self.texts: list[str] = []
-        self.starts: list[int] = []
-        self.comments: list[tuple[int, str]] = []
-        breaks: list[bool] = []
-        words = reserved(language)
-        self.bad = False
-        end = 0
+        toks = tokens(language, text) if toks is None else toks
         skip = text.find("\n") if language == "javascript" and text.startswith("#!") else -1
-        split, go = language in ("java", "rust"), language == "go"
-        broken = False
-        kinds, texts, starts = self.kinds, self.texts, self.starts
-        add_kind, add_text, add_start, add_break, find = kinds.append, texts.append, starts.append, breaks.append, text.find
-        for kind, t, at in tokens(language, text) if toks is None else toks:
-            if at < skip:
-                continue
-            if not broken and end < at:
-                broken = find("\n", end, at) >= 0
-            end = at + len(t)
-            if go and broken and kinds and kinds[-1] in ENDS_GO:
-                add_kind(";"), add_text("\n"), add_start(at), add_break(False)
-            if kind == "comment":
-                broken = broken or "\n" in t
-                self.comments.append((at, t))
-                continue
-            if kind == "bad":
-                self.bad = True
-                break
-            if kind == "pre":
-                broken = True
-                continue
-            if split and t in (">>", ">>>") and kind == "sign":
-                for n in range(len(t)):
-                    add_kind(">"), add_text(">"), add_start(at + n), add_break(broken and not n)
-            else:
-                add_kind(t if kind == "sign" or kind == "word" and t in words else KEYS[kind])
-                add_text(t)
-                add_start(at)
-                add_break(broken)
-            broken = False
-        if go and kinds and kinds[-1] in ENDS_GO:
-            add_kind(";"), add_text("\n"), add_start(end), add_break(False)
-        self.notes = None if self.bad else grammar(language).parse(self.kinds, self.texts, breaks)
+        if skip >= 0:
+            toks = [x for x in toks if x[2] >= skip]
+        self.notes = None
+        self.bad = any(kind == "bad" for kind, _, _ in toks)
+        if self.bad:
+            return
+        self.comments: list[tuple[int, str]] = [(at, t) for kind, t, at in toks if kind == "comment"]
+        if language == "go":
+            code = with_ends(text, toks)
+        else:
+            code = [x for x in toks if x[0] != "comment" and x[0] != "pre"]
+            if language in ("java", "rust") and ">>" in text:
+                code = [y for x in code for y in ([("sign", ">", x[2] + n) for n in range(len(x[1]))] if x[0] == "sign" and x[1] in (">>", ">>>") else (x,))]
+        words = reserved(language)
+        self.kinds = [t if kind == "sign" or kind == "word" and t in words else KEYS[kind] for kind, t, _ in code]
+        self.texts = [t for _, t, _ in code]
+        self.starts = [at for _, _, at in code]
+        # the others' grammars do not ask for line ends
+        breaks = [text.find("\n", end, at) >= 0 for end, at in zip([0, *(at + len(t) for _, t, at in code)], self.starts)] if language == "javascript" else [False] * len(code)
+        self.notes = grammar(language).parse(self.kinds, self.texts, breaks)
 
     @property
     def valid(self) -> bool:

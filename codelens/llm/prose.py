@@ -42,6 +42,8 @@ NOTICE = re.compile(
     r"permission is|(?:public|share alike|non commerce) terms|free grant|fennway permission|third parties"
 )
 TOOL = re.compile(r"(?i)do not (?:edit|modify)|(?:auto-?)?generated (?:by|from|with|file|code)|@generated|automatically generated|this file (?:was|is) (?:generated|produced|created|written)|eslint|noqa|pylint|nolint|clang-format|prettier|istanbul|go:build|go:generate|ts-ignore|type: ignore|sourceMappingURL|autogenerated|regenerate instead|自动生成|自動生成|请勿手动|generado automáticamente|généré automatiquement|automatisch (?:erzeugt|generiert|erstellt)|автоматически (?:создан|сгенерирован)|vim:|-\*-|NOLINT|checkstyle|spotless|rustfmt|@formatter|\bpragma\b")
+#: The same for ASCII in lower case: without folding, a search passes over what no alternative begins with.
+LOW_NOTICE, LOW_TOOL = (re.compile(x.pattern.replace("(?i)", "").lower()) for x in (NOTICE, TOOL))
 SQL = re.compile(r"(?i)^\W*(?:select\b.+\bfrom|insert\s+into|update\b.+\bset|delete\s+from|create\s+(?:table|index|view|database|unique)|alter\s+table|drop\s+(?:table|index)|with\b.+\bas\s*\(|merge\s+into|truncate|grant\b.+\bon)\b")
 COMMAND = re.compile(r"^\W*(?:\$ |sudo |curl |wget |git |docker |kubectl |npm |pip |go (?:run|build|test|get|vet) |cargo |make |cd |ls |rm |cp |mv |chmod |ssh |scp |export |login -|python3? |java -|mvn |gradle |bash |sh |tar |grep |sed |awk |find |cat |echo |apt(?:-get)? |brew |yarn |node |psql |mysql |redis-cli |rsync |systemctl )")
 TAG = re.compile(r"^\W*(?:[@\\](?!link|code)\w+|:\w+(?: [\w*.]+)*:|(?:Args|Arguments|Parameters|Params|Returns?|Raises|Yields|Throws|Example|Examples|See also)\s*:)")
@@ -53,6 +55,21 @@ CODE = re.compile(
 NOT_PROSE = re.compile(r"`[^`]*`|\{@\w+[^}]*\}|https?://\S+|</?\w+[^>]*>|\S+@\S+|\b\w+\([^()]*\)|\b\w*_\w+\b|\b[a-z]+[A-Z]\w*\b")
 
 
+def notice(text: str) -> bool:
+    return bool(LOW_NOTICE.search(text.lower()) if text.isascii() else NOTICE.search(text))
+
+
+def left_out(line: str) -> bool:
+    """Whether a line is a tag, command, notice or code."""
+    if line.isascii():
+        low = line.lower()
+        if LOW_TOOL.search(low) or LOW_NOTICE.search(low):
+            return True
+    elif TOOL.search(line) or NOTICE.search(line):
+        return True
+    return bool(TAG.match(line) or SQL.match(line) or COMMAND.match(line) or CODE.search(line))
+
+
 def language_of(sentence: str) -> str | None:
     """The language of a sentence that is long enough, else None."""
     han, kana = len(re.findall(f"[{HAN}]", sentence)), len(re.findall(f"[{KANA}]", sentence))
@@ -66,16 +83,19 @@ def language_of(sentence: str) -> str | None:
     if len(words) < LEAST_WORDS:
         return None
     low = [w.lower() for w in words]
-    if sum(bool(re.search("[а-яё]", w)) for w in low) >= LEAST_WORDS:
+    if sentence.isascii():
+        score = {k: sum(w in s for w in low) for k, s in STOP_SETS.items()}
+    elif sum(bool(re.search("[а-яё]", w)) for w in low) >= LEAST_WORDS:
         return "ru"
-    score = {k: sum(w in s for w in low) + 0.6 * sum(bool(MARKS[k] & set(w)) for w in low if k in MARKS) for k, s in STOP_SETS.items()}
+    else:
+        score = {k: sum(w in s for w in low) + 0.6 * sum(bool(MARKS[k] & set(w)) for w in low if k in MARKS) for k, s in STOP_SETS.items()}
     best = max(score, key=lambda k: score[k])
     return best if score[best] >= 1 else None
 
 
 def prose(line: str) -> str:
     """What is prose in one line of a comment or of a literal."""
-    if TAG.match(line) or SQL.match(line) or COMMAND.match(line) or TOOL.search(line) or NOTICE.search(line) or CODE.search(line):
+    if left_out(line):
         return ""
     return NOT_PROSE.sub(" ", MARKER.sub(" ", line))
 
@@ -94,7 +114,7 @@ def blanked(pattern: re.Pattern, text: str) -> str:
 
 
 def prose_in_place(line: str) -> str:
-    if TAG.match(line) or SQL.match(line) or COMMAND.match(line) or TOOL.search(line) or NOTICE.search(line) or CODE.search(line):
+    if left_out(line):
         return ""
     return blanked(NOT_PROSE, blanked(MARKER, line))
 
@@ -236,7 +256,7 @@ def nl_languages(places: list[tuple[str, bool, list[tuple[int, str]]]], states:
         judged = False
         for at, x in lines:
             if any(held.count(s, at, at + len(x)) >= LEAST_OF_LANGUAGE for s in open_):
-                if not judged and (NOTICE.search(said) or literal and SQL.match(said)):
+                if not judged and (notice(said) or literal and SQL.match(said)):
                     break
                 judged = True
                 got |= languages_at(x, at, states)
@@ -302,10 +322,13 @@ def subwords(name: str) -> set[str]:
 
 def documents(lines: list[str], name: str) -> bool:
     """Whether the lines say something beside the name."""
-    if NOTICE.search(" ".join(lines)):
+    whole = " ".join(lines)
+    if not ROOM.match(whole):
+        return False
+    if notice(whole):
         kept: list[str] = []
         for part in re.split(r"\n\s*\n", "\n".join(lines)):
-            kept += [] if NOTICE.search(part) else part.split("\n")
+            kept += [] if notice(part) else part.split("\n")
         lines = kept
     said, own = " ".join(prose(x) for x in lines), subwords(name)
     chars = len(re.findall(f"[{HAN}{KANA}]", said))
@@ -344,27 +367,58 @@ def definitions(parsed: Parsed, text: str) -> list[tuple[str, int, set[int]]]:
     return out
 
 
-def documented(language: str, text: str) -> set[tuple[str, int]] | None:
-    """(name, line) of documented definitions; None for an invalid file."""
+NEXT_LINE = re.compile(r"[^\S\n]*\n[^\S\n]*\S")
+
+
+def may_document(text: str, comments: list[tuple[int, str]]) -> bool:
+    """Whether any comments, those on lines below each other together, have room for a sentence and something on the line after them."""
+    said, end = "", -1
+    for at, t in comments:
+        between = text[end:at] if end >= 0 else "x"
+        said = f"{said} {t}" if not between.strip() and between.count("\n") <= 1 else t
+        end = at + len(t)
+        if NEXT_LINE.match(text, end) and ROOM.match(said):
+            return True
+    return False
+
+
+def functions(tree: ast.Module):
+    """Functions and methods. They are statements, so that expressions are passed over."""
+    todo: list = list(tree.body)
+    while todo:
+        node = todo.pop()
+        if isinstance(node, (ast.FunctionDef, ast.AsyncFunctionDef)):
+            yield node
+        for name in ("body", "orelse", "finalbody", "handlers", "cases"):
+            if inner := getattr(node, name, None):
+                todo += inner
+
+
+def documented(language: str, text: str) -> set[tuple[str, int]]:
+    """(name, line) of documented definitions; none for an invalid file. A file that could have none is not parsed."""
     if language not in (*LANGUAGES, "python"):
         return set()
     text = text.lstrip("\ufeff")
     if language == "python":
+        if "def " not in text:
+            return set()
         try:
             with warnings.catch_warnings():
                 warnings.simplefilter("ignore")
                 tree = ast.parse(text)
         except (SyntaxError, ValueError, RecursionError, MemoryError):
-            return None
+            return set()
+        comments = [(at, t) for kind, t, at in tokens(language, text) if kind == "comment"] if "#" in text else []
+        if not may_document(text, comments):
+            comments = []
     else:
-        parsed = Parsed(language, text)
-        if not parsed.valid and text.strip():
-            return None
-    if language == "python" and "def " not in text or language != "python" and not parsed.notes:
-        return set()
-    comments = [(at, t) for kind, t, at in tokens(language, text) if kind == "comment"] if language == "python" else parsed.comments
-    if language != "python" and not comments:
-        return set()
+        toks = tokens(language, text)
+        if not may_document(text, [(at, t) for kind, t, at in toks if kind == "comment"]):
+            return set()
+        parsed = Parsed(language, text, toks)
+        if not parsed.notes:
+            return set()
+        comments = parsed.comments
     lines = text.split("\n")
     offsets = [0]
     for x in lines:
@@ -378,12 +432,11 @@ def documented(language: str, text: str) -> set[tuple[str, int]] | None:
             ends[e] = t
     found: set[tuple[str, int]] = set()
     if language == "python":
-        for node in ast.walk(tree):
-            if isinstance(node, (ast.FunctionDef, ast.AsyncFunctionDef)):
-                doc = ast.get_docstring(node, clean=True) or ""
-                first = min([node.lineno, *(d.lineno for d in node.decorator_list)]) - 1
-                if documents(doc.splitlines(), node.name) or documents(above(text, ends, first, lines, None), node.name):
-                    found.add((node.name, node.lineno))
+        for node in functions(tree):
+            doc = ast.get_docstring(node, clean=True) or ""
+            first = min([node.lineno, *(d.lineno for d in node.decorator_list)]) - 1
+            if documents(doc.splitlines(), node.name) or documents(above(text, ends, first, lines, None), node.name):
+                found.add((node.name, node.lineno))
         return found
     for name, at, begins in definitions(parsed, text):
         if any(documents(above(text, ends, line, lines, ANNOTATION[language]), name) for line in {line_at(b) for b in begins}):
@@ -430,4 +483,4 @@ def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _over_files(spark, sf_dir, lambda n, t: sorted(documented(n, t) or ()), "doc_id bigint, sym string, line_no int")
+    return _over_files(spark, sf_dir, lambda n, t: sorted(documented(n, t)), "doc_id bigint, sym string, line_no int")
