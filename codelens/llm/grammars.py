@@ -168,8 +168,8 @@ set = '=' / '+=' / '-=' / '*=' / '/=' / '%=' / '**=' / '<<=' / '>>=' / '>>>=' /
 binary = '+' / '-' / '*' / '/' / '%' / '**' / '&' / '|' / '^' / '<<' / '>>' / '>>>' / '==' / '!=' / '===' / '!==' / '<' / '<=' / '>' / '>=' / '&&' / '||' / '??' / 'in' / 'instanceof' ;
 arrow = ("async" !NL)? (ID / params) !NL '=>' (block / assign) ;
 unary = ('+' / '-' / '!' / '~' / '++' / '--' / 'typeof' / 'void' / 'delete' / "await" &operand)* primary postfix* (!NL ('++' / '--'))? ;
-operand = ID / 'this' / 'new' / 'import' / '(' / '[' / '{' / STR / 'function' / 'super' ;
-primary = STR / NUM / REGEX / "async"? 'function' '*'? ID? params block / class / 'new' ('.' ID / primary (!args postfix)* args?) / 'import' ('.' ID / args) / 'this' / 'super' / 'null' / 'true' / 'false' / array / object / paren / '#' ID / ID ;
+operand = ID / 'this' / 'new' / 'import' / '(' / '[' / '{' / STR / TEMPLATE / 'function' / 'super' ;
+primary = STR / TEMPLATE / NUM / REGEX / "async"? 'function' '*'? ID? params block / class / 'new' ('.' ID / primary (!args postfix)* args?) / 'import' ('.' ID / args) / 'this' / 'super' / 'null' / 'true' / 'false' / array / object / paren / '#' ID / ID ;
 array = '[' (','* ('...' assign / assign))? (','+ ('...' assign / assign))* ','* ']' ;
 object = '{' (entry (',' entry)* ','?)? '}' ;
 omethod := ("async" !NL)? '*'? @ID params block ;
@@ -264,9 +264,10 @@ match = 'match' nexpr '{' inner* (arm)* '}' ;
 arm = attr* pattern ('if' cond2)? '=>' (blocklike !('.' / '?' / '(') ','? / expr (',' / &'}')) ;
 cond2 = ('let' pattern '=' expr / expr) ;
 pattern = '|'? pat ('|' pat)* ;
-pat = '&&'? '&' 'mut'? pat / '&&' 'mut'? pat / 'ref'? 'mut'? ID ('@' pat)? !('::' / '(' / '{' / '!' / '..' / '..=') / "_" / '..=' lit / lit (('..=' / '..' / '...') lit?)? / '(' (pat0 (',' pat0)* ','?)? ')' / '[' (pat0 (',' pat0)* ','?)? ']' / epath '!' group / (qpath / epath) ('(' (pat0 (',' pat0)* ','?)? ')' / '{' (pfield (',' pfield)* ','?)? '}' / ('..=' / '..') lit?)? / '..' ;
+pat = '&&'? '&' 'mut'? pat / '&&' 'mut'? pat / 'ref'? 'mut'? ID ('@' pat)? !('::' / '(' / '{' / '!' / '..' / '..=' / '...') / "_" / '..=' lit / plain (('..=' / '..' / '...') lit?)? / '(' (pat0 (',' pat0)* ','?)? ')' / '[' (pat0 (',' pat0)* ','?)? ']' / epath '!' group / (qpath / epath) ('(' (pat0 (',' pat0)* ','?)? ')' / '{' (pfield (',' pfield)* ','?)? '}' / ('..=' / '..' / '...') lit?)? / '..' ;
 pat0 = '..' / pattern ;
-lit = '-'? NUM / STR / 'true' / 'false' / epath ;
+plain = '-'? NUM / STR / 'true' / 'false' ;
+lit = plain / epath ;
 pfield = attr* ('..' / (ID / NUM) ':' pattern / 'ref'? 'mut'? ID) ;
 expr = unary (binary unary / 'as' type / rangeop unary? / assign expr)* / rangeop unary? ;
 nexpr = nunary (binary nunary / 'as' type / rangeop nunary? / assign nexpr)* / rangeop nunary? ;
@@ -343,6 +344,8 @@ class Parsed:
         self.kinds = [t if kind == "sign" or kind == "word" and t in words else KEYS[kind] for kind, t, _ in code]
         self.texts = [t for _, t, _ in code]
         self.starts = [at for _, _, at in code]
+        if language == "javascript" and "`" in text:
+            self.kinds = ["TEMPLATE" if k == "STR" and t[0] == "`" else k for k, t in zip(self.kinds, self.texts)]
         # the others' grammars do not ask for line ends
         breaks = [text.find("\n", end, at) >= 0 for end, at in zip([0, *(at + len(t) for _, t, at in code)], self.starts)] if language == "javascript" else [False] * len(code)
         self.notes = grammar(language).parse(self.kinds, self.texts, breaks)

@@ -21,7 +21,10 @@ STRINGS = {
     "json": DOUBLE,
     "yaml": r"\"(?:\\[\s\S]|[^\"\\])*\"|(?<![\w)])'(?:''|[^'])*'",
 }
-REGEX = r"(?P<regex>(?<=[=(,:;!&|?{}\[])\s*/(?![*/])(?:\\.|\[(?:\\.|[^\]\\\n])*\]|[^/\\\n\[])+/[a-z]*)"
+#: Words that an expression follows, so that a slash after them begins a pattern.
+BEFORE_EXPRESSIONS = "return typeof case delete void throw new else do in of instanceof await yield".split()
+AFTER = "|".join([r"(?<=[=(,:;!&|?{}\[])", "(?<==>)", *(rf"(?<=(?<![\w$.]){w})" for w in BEFORE_EXPRESSIONS)])
+REGEX = rf"(?P<regex>(?<!\s)(?=\s*+/)(?:{AFTER})\s*/(?![*/])(?:\\.|\[(?:\\.|[^\]\\\n])*\]|[^/\\\n\[])+/[a-z]*)"
 
 
 def _lexer(language: str) -> re.Pattern:
